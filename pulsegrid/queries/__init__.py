@@ -1,4 +1,4 @@
 """Registered queries over the given tables, each with its SQL twin where SQL can say it."""
 
-from . import engagement  # noqa: F401
+from . import distance, engagement  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
