@@ -1,0 +1,100 @@
+"""Leading eigenvectors of an operator that only Spark can hold, by block subspace iteration.
+
+The iterate is a table ``(entity, y0 … y{r-1})`` with one row per entity. One step applies the
+operator (a join and a grouped sum given by the caller) and makes the columns orthonormal again;
+only r x r matrices come to the driver. The lineage is cut after every step.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..settings import cut_lineage
+
+
+def column_names(rank: int) -> list[str]:
+    return [f"y{i}" for i in range(rank)]
+
+
+def random_start(entities: DataFrame, rank: int, seed: int) -> DataFrame:
+    """A start that depends on the entity alone, not on how the table is partitioned."""
+    hashed = [
+        (F.pmod(F.xxhash64("entity", F.lit(seed), F.lit(i)), F.lit(1_000_003)) / 1_000_003 - 0.5).alias(y)
+        for i, y in enumerate(column_names(rank))
+    ]
+    return entities.select("entity", *hashed)
+
+
+def centred(table: DataFrame, rank: int) -> DataFrame:
+    ys = column_names(rank)
+    means = table.agg(F.struct(*[F.avg(y).alias(y) for y in ys]).alias("m")).scalar()
+    return table.select("entity", *[(F.col(y) - means[y]).alias(y) for y in ys])
+
+
+def gram(table: DataFrame, other: DataFrame | None, rank: int) -> np.ndarray:
+    """r x r products of the columns of one table, or of two tables joined on the entity."""
+    ys = column_names(rank)
+    if other is None:
+        joined, right = table, ys
+    else:
+        right = [f"z{i}" for i in range(rank)]
+        joined = table.join(other.select("entity", *[F.col(y).alias(z) for y, z in zip(ys, right)]), "entity")
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in ys for b in right]
+    return np.array(joined.agg(*sums).first(), float).reshape(rank, rank)
+
+
+def rotated(table: DataFrame, matrix: np.ndarray) -> DataFrame:
+    rank, out = matrix.shape
+    ys = column_names(rank)
+    columns = [
+        sum((F.col(ys[i]) * float(matrix[i, j]) for i in range(1, rank)), F.col(ys[0]) * float(matrix[0, j]))
+        for j in range(out)
+    ]
+    return table.select("entity", *[c.alias(f"y{j}") for j, c in enumerate(columns)])
+
+
+def orthonormal(table: DataFrame, rank: int) -> tuple[DataFrame, np.ndarray]:
+    """Columns turned to the axes of their span and scaled to length one; lengths before that.
+
+    A column that has shrunk to nothing becomes zero.
+    """
+    lengths, axes = np.linalg.eigh(gram(table, None, rank))
+    order = np.argsort(lengths)[::-1]
+    lengths, axes = np.maximum(lengths[order], 0.0), axes[:, order]
+    keep = lengths > 1e-14 * max(lengths[0], 1e-300)
+    scale = np.divide(1.0, np.sqrt(lengths), out=np.zeros_like(lengths), where=keep)
+    return rotated(table, axes * scale), np.sqrt(lengths)
+
+
+def leading_eigenvectors(
+    apply: Callable[[DataFrame], DataFrame],
+    start: DataFrame,
+    rank: int,
+    max_iter: int = 60,
+    tol: float = 1e-9,
+) -> tuple[DataFrame, np.ndarray]:
+    """Eigenvectors (columns, largest first) and eigenvalues of a symmetric positive operator."""
+    current, _ = orthonormal(start, rank)
+    current = cut_lineage(current)
+    before = None
+    for _ in range(max_iter):
+        image = cut_lineage(apply(current))
+        values, axes = np.linalg.eigh(_symmetric(gram(current, image, rank)))
+        values = values[::-1]
+        current, _ = orthonormal(image, rank)
+        current = cut_lineage(current)
+        if before is not None and np.allclose(values, before, rtol=tol, atol=tol * max(abs(values[0]), 1e-300)):
+            break
+        before = values
+    image = cut_lineage(apply(current))
+    values, axes = np.linalg.eigh(_symmetric(gram(current, image, rank)))
+    order = np.argsort(values)[::-1]
+    return rotated(current, axes[:, order]), values[order]
+
+
+def _symmetric(matrix: np.ndarray) -> np.ndarray:
+    return (matrix + matrix.T) / 2
