@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import clustering, projection
 from ..operators.sweep import sweep
+from ..operators.topics import topics_per_cluster
 from ..operators.vectors import as_arrays
 from . import binding as b
 from .registry import query
+from .text import STOP_WORDS
 
 
 def _space(spark, sf_dir):
@@ -86,3 +88,23 @@ def _(spark, sf_dir):
 @query("sweep_inertia")
 def _(spark, sf_dir):
     return sweep(_space(spark, sf_dir), 2, 10, "inertia", seed=7)
+
+
+def _documents(spark, sf_dir, lang):
+    table = b.table(spark, sf_dir, "documents").filter(F.col("lang") == lang)
+    return table.select(F.col("doc_id").alias("doc"), "text")
+
+
+def _languages(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "documents").select("lang").distinct().collect()  # a handful
+    return {lang: _documents(spark, sf_dir, lang) for lang in sorted(r[0] for r in rows)}
+
+
+@query("lda_topics")
+def _(spark, sf_dir):
+    return topics_per_cluster(_languages(spark, sf_dir), method="lda", stop_words=STOP_WORDS)
+
+
+@query("nmf_topics")
+def _(spark, sf_dir):
+    return topics_per_cluster(_languages(spark, sf_dir), method="nmf", stop_words=STOP_WORDS)

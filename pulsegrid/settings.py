@@ -43,3 +43,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a table that is about to be iterated over when it has fewer partitions than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
