@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import log
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,11 @@ class Vocabulary:
     documents: int
 
 
+def default_stop_words() -> list[str]:
+    """Spark's English list; any other list can be given instead."""
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
 def corpus(items: DataFrame) -> DataFrame:
     """``(…, title, body)`` to ``(…, text)``: title and body joined by a blank; a null is left out."""
     keep = [c for c in items.columns if c not in ("title", "body")]
