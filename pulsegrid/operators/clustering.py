@@ -7,15 +7,15 @@ from dataclasses import dataclass
 from random import SystemRandom
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel, PowerIterationClustering
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..settings import cut_lineage
 from . import pairs, projection
 from .outliers import mark_retained
 from .spectral import spectral_features
-from .vectors import as_ml_vectors, vector_pair_distances
+from .vectors import WIDEST_ROW, as_ml_vectors, dense_rows, vector_pair_distances
 
 MODEL_TYPES = ("kmeans", "spectral")
 
@@ -28,16 +28,22 @@ class FeatureSpace:
     two principal components. ``triples`` is there when the space came from a sparse matrix.
     """
 
-    full: DataFrame
+    full: DataFrame | None
     plane: DataFrame
     triples: DataFrame | None = None
     entities: DataFrame | None = None
 
     @classmethod
     def from_triples(cls, triples: DataFrame, entities: DataFrame) -> FeatureSpace:
-        """From ``(entity, item, rate)``; few entities may have any number of items."""
+        """From ``(entity, item, rate)``.
+
+        Few entities may have any number of items, and many entities a bounded number of items.
+        When both are many, the plane still comes out (``pca=True``); the full rows do not.
+        """
         if not projection.few_entities(entities):
-            raise ValueError("for many entities give vectors of bounded length: from_vectors")
+            if triples.select("item").distinct().limit(WIDEST_ROW + 1).count() <= WIDEST_ROW:
+                return cls.from_vectors(dense_rows(triples, "entity", "item"))
+            return cls(None, cut_lineage(projection.plane_by_iteration(triples)), triples, entities)
         full = projection.compact_coordinates(triples, entities)
         plane = full.select("entity", F.col("features")[0].alias("pc1"), F.col("features")[1].alias("pc2"))
         return cls(full, plane, triples, entities)
@@ -50,6 +56,8 @@ class FeatureSpace:
 
     def features(self, pca: bool) -> DataFrame:
         if not pca:
+            if self.full is None:
+                raise ValueError("many entities with many items are clustered on their plane: pca=True")
             return self.full
         return self.plane.select("entity", F.array("pc1", "pc2").alias("features"))
 
@@ -155,15 +163,7 @@ def cluster_items(triples: DataFrame, entities: DataFrame, k: int, seed: int = 0
     """
     if not projection.few_entities(entities):
         raise ValueError(f"item vectors are built for at most {pairs.BLOCK} entities")
-    names = sorted(r[0] for r in entities.select("entity").distinct().collect())
-    place = F.create_map(*[F.lit(x) for pair in ((e, i) for i, e in enumerate(names)) for x in pair])
-    cells = F.map_from_entries(F.collect_list(F.struct(place[F.col("entity")].alias("at"), "rate")))
-    per_item = triples.groupBy("item").agg(cells.alias("cells"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(len(names) - 1)),
-        lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)),
-    )
-    vectors = per_item.select("item", array_to_vector(dense).alias("features"))
+    vectors = as_ml_vectors(dense_rows(triples.join(entities.select("entity"), "entity", "left_semi"), "item", "entity"))
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(vectors)
     return model.transform(vectors).select("item", F.col("label").cast("int").alias("label"))

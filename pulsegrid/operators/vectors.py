@@ -16,11 +16,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.distances import block_distances, check_metric
 
 BLOCK = 1024
 _BLOCK_CELLS = 1 << 22
+WIDEST_ROW = 4096
 
 
 def as_arrays(vectors: DataFrame) -> DataFrame:
@@ -42,6 +44,30 @@ def to_triples(vectors: DataFrame) -> DataFrame:
     return as_arrays(vectors).select("entity", F.posexplode("features").alias("item", "rate"))
 
 
+def dense_rows(triples: DataFrame, row: str, column: str) -> DataFrame:
+    """Rows of the matrix as ``(<row>, features)``, one place per value of a bounded column."""
+    names = [r[0] for r in triples.select(column).distinct().take(WIDEST_ROW + 1)]
+    if len(names) > WIDEST_ROW:
+        raise ValueError(f"rows are built over at most {WIDEST_ROW} values of {column}")
+    width = len(names)
+    schema = T.StructType([triples.schema[column], T.StructField("_at", T.IntegerType())])
+    places = triples.sparkSession.createDataFrame([(x, i) for i, x in enumerate(sorted(names))], schema)
+    cells = triples.join(F.broadcast(places), column).groupBy(row).agg(
+        F.collect_list(F.struct("_at", "rate")).alias("cells")  # at most one cell per place
+    )
+
+    @F.pandas_udf("array<double>")
+    def fill(at: pd.Series, rate: pd.Series) -> pd.Series:
+        out = []
+        for where, what in zip(at, rate):
+            dense = np.zeros(width)
+            dense[where] = what
+            out.append(dense)
+        return pd.Series(out)
+
+    return cells.select(row, fill("cells._at", "cells.rate").alias("features"))
+
+
 def _spread(vectors: DataFrame) -> tuple[np.ndarray, int]:
     summary = (
         as_ml_vectors(vectors)
@@ -89,7 +115,7 @@ def block_pairs(
         .drop("_other")
     )
 
-    def task(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         p, q = key
         left = rows[rows["_mine"] == p]
         return work(left, left if p == q else rows[rows["_mine"] == q], p == q)
