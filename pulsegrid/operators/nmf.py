@@ -93,7 +93,7 @@ def factorise(
     seed: int = 1,
     max_iter: int = 200,
     tol: float = 1e-4,
-    inner: int = 50,
+    inner: int = 100,
 ) -> Factors:
     """Factorise sparse ``(…, features)`` vectors of length ``width``."""
     parts = F.unwrap_udt("features")
@@ -105,11 +105,11 @@ def factorise(
     h = np.abs(np.random.default_rng(seed).standard_normal((topics, width))) * np.sqrt(mean / topics)
     l1, l2 = alpha * ratio, alpha * (1 - ratio)
     history: list[float] = []
-    for _ in range(max_iter):
+    while True:
         cross, gram, loss = _round(entries, h, alpha, ratio, inner)
         history.append(loss)
-        if len(history) > 1 and history[-2] - loss <= tol * history[0]:
-            break
+        if len(history) >= max_iter or (len(history) > 1 and history[-2] - loss <= tol * history[0]):
+            break  # the last value belongs to the topics returned
         h = descend(h.T, gram, cross.T, l1, l2, inner).T
     entries.unpersist()
     return Factors(h, history)

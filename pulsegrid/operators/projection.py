@@ -95,7 +95,7 @@ def plane_of_vectors(vectors: DataFrame) -> DataFrame:
 
 def plane_by_iteration(triples: DataFrame, max_iter: int = 60, seed: int = 0) -> DataFrame:
     """``(entity, pc1, pc2)`` when entities and items are both many: joins and sums only."""
-    rank = 4  # two components and two more for speed of convergence
+    rank = 8  # two components and six more for speed of convergence
     ys = subspace.column_names(rank)
 
     def covariance_step(y: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def plane_by_iteration(triples: DataFrame, max_iter: int = 60, seed: int = 0) ->
         return subspace.centred(back, rank)
 
     start = subspace.centred(subspace.random_start(triples.select("entity").distinct(), rank, seed), rank)
-    axes, values = subspace.leading_eigenvectors(covariance_step, start, rank, max_iter)
+    axes, values = subspace.leading_eigenvectors(covariance_step, start, rank, 2, max_iter)
     length = np.sqrt(np.maximum(values, 0.0))
     plane = axes.select(
         "entity", (F.col("y0") * float(length[0])).alias("pc1"), (F.col("y1") * float(length[1])).alias("pc2")

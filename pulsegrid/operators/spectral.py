@@ -80,7 +80,7 @@ def _by_iteration(vectors, k, gamma, seed, block, max_iter) -> DataFrame:
     degrees = cut_lineage(affinity_sums(ones, ["degree"], gamma, block))
     root = F.sqrt(F.when(F.col("degree") > 0, F.col("degree")).otherwise(1.0))
     based = cut_lineage(vectors.join(degrees.select("entity", root.alias("root")), "entity"))
-    rank = k + 2
+    rank = k + 6  # the extra columns speed up convergence
     ys = subspace.column_names(rank)
 
     def step(y: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def _by_iteration(vectors, k, gamma, seed, block, max_iter) -> DataFrame:
         )
 
     start = subspace.random_start(vectors.select("entity"), rank, seed)
-    axes, _ = subspace.leading_eigenvectors(step, start, rank, max_iter)
+    axes, _ = subspace.leading_eigenvectors(step, start, rank, k, max_iter)
     return axes.join(based.select("entity", "root"), "entity").select(
         "entity", F.array(*[F.col(c) / F.col("root") for c in ys[:k]]).alias("features")
     )

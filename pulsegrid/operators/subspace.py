@@ -35,66 +35,58 @@ def centred(table: DataFrame, rank: int) -> DataFrame:
     return table.select("entity", *[(F.col(y) - means[y]).alias(y) for y in ys])
 
 
-def gram(table: DataFrame, other: DataFrame | None, rank: int) -> np.ndarray:
-    """r x r products of the columns of one table, or of two tables joined on the entity."""
-    ys = column_names(rank)
-    if other is None:
-        joined, right = table, ys
-    else:
-        right = [f"z{i}" for i in range(rank)]
-        joined = table.join(other.select("entity", *[F.col(y).alias(z) for y, z in zip(ys, right)]), "entity")
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in ys for b in right]
-    return np.array(joined.agg(*sums).first(), float).reshape(rank, rank)
+def _products(table: DataFrame, left: list[str], right: list[str]) -> list:
+    return [F.sum(F.col(a) * F.col(b)) for a in left for b in right]
 
 
-def rotated(table: DataFrame, matrix: np.ndarray) -> DataFrame:
+def rotated(table: DataFrame, matrix: np.ndarray, names: list[str] | None = None) -> DataFrame:
+    """``(entity, y0 …)``: the named columns times a small matrix."""
     rank, out = matrix.shape
-    ys = column_names(rank)
+    names = names or column_names(rank)
     columns = [
-        sum((F.col(ys[i]) * float(matrix[i, j]) for i in range(1, rank)), F.col(ys[0]) * float(matrix[0, j]))
+        sum((F.col(names[i]) * float(matrix[i, j]) for i in range(1, rank)), F.col(names[0]) * float(matrix[0, j]))
         for j in range(out)
     ]
     return table.select("entity", *[c.alias(f"y{j}") for j, c in enumerate(columns)])
 
 
-def orthonormal(table: DataFrame, rank: int) -> tuple[DataFrame, np.ndarray]:
-    """Columns turned to the axes of their span and scaled to length one; lengths before that.
-
-    A column that has shrunk to nothing becomes zero.
-    """
-    lengths, axes = np.linalg.eigh(gram(table, None, rank))
-    order = np.argsort(lengths)[::-1]
-    lengths, axes = np.maximum(lengths[order], 0.0), axes[:, order]
+def _whitening(gram: np.ndarray) -> np.ndarray:
+    """Matrix that makes columns with these products orthonormal; a vanished column becomes zero."""
+    lengths, axes = np.linalg.eigh((gram + gram.T) / 2)
+    lengths, axes = np.maximum(lengths[::-1], 0.0), axes[:, ::-1]
     keep = lengths > 1e-14 * max(lengths[0], 1e-300)
-    scale = np.divide(1.0, np.sqrt(lengths), out=np.zeros_like(lengths), where=keep)
-    return rotated(table, axes * scale), np.sqrt(lengths)
+    return axes * np.divide(1.0, np.sqrt(lengths), out=np.zeros_like(lengths), where=keep)
 
 
 def leading_eigenvectors(
     apply: Callable[[DataFrame], DataFrame],
     start: DataFrame,
     rank: int,
+    wanted: int,
     max_iter: int = 60,
     tol: float = 1e-9,
 ) -> tuple[DataFrame, np.ndarray]:
-    """Eigenvectors (columns, largest first) and eigenvalues of a symmetric positive operator."""
-    current, _ = orthonormal(start, rank)
-    current = cut_lineage(current)
-    before = None
-    for _ in range(max_iter):
-        image = cut_lineage(apply(current))
-        values, axes = np.linalg.eigh(_symmetric(gram(current, image, rank)))
-        values = values[::-1]
-        current, _ = orthonormal(image, rank)
-        current = cut_lineage(current)
-        if before is not None and np.allclose(values, before, rtol=tol, atol=tol * max(abs(values[0]), 1e-300)):
-            break
-        before = values
-    image = cut_lineage(apply(current))
-    values, axes = np.linalg.eigh(_symmetric(gram(current, image, rank)))
-    order = np.argsort(values)[::-1]
-    return rotated(current, axes[:, order]), values[order]
-
+    """Eigenvectors (columns, largest first) and eigenvalues of a symmetric positive operator.
 
-def _symmetric(matrix: np.ndarray) -> np.ndarray:
-    return (matrix + matrix.T) / 2
+    A round is two jobs: the operator's image is written beside its argument, and one aggregation
+    over that table gives all products needed. It ends when the ``wanted`` leading values stand.
+    """
+    ys, zs = column_names(rank), [f"z{i}" for i in range(rank)]
+    start = cut_lineage(start)
+    gram = np.array(start.agg(*_products(start, ys, ys)).first(), float).reshape(rank, rank)
+    current, before = rotated(start, _whitening(gram)), None
+    for step in range(max_iter):
+        image = apply(current).select("entity", *[F.col(y).alias(z) for y, z in zip(ys, zs)])
+        both = cut_lineage(current.join(image, "entity"))
+        sums = np.array(both.agg(*_products(both, ys, zs), *_products(both, zs, zs)).first(), float)
+        cross, gram = sums.reshape(2, rank, rank)
+        values, axes = np.linalg.eigh((cross + cross.T) / 2)
+        values, axes = values[::-1], axes[:, ::-1]
+        lead = values[:wanted]
+        if step + 1 == max_iter or (
+            before is not None and np.allclose(lead, before, rtol=tol, atol=tol * max(abs(lead[0]), 1e-300))
+        ):
+            break
+        before = lead
+        current = rotated(both, _whitening(gram), zs)
+    return rotated(both, axes), values
