@@ -1,21 +1,22 @@
-"""Clustering of entities and of items, with k-means restarts and outlier handling."""
+"""Clustering of entities and of items, with outlier handling."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import dataclass
 from random import SystemRandom
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, PowerIterationClustering
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..settings import cut_lineage
 from . import pairs, projection
+from .kmeans import KMeansFit, fit_many
 from .outliers import mark_retained
 from .spectral import spectral_features
-from .vectors import WIDEST_ROW, as_ml_vectors, dense_rows, vector_pair_distances
+from .vectors import WIDEST_ROW, as_arrays, as_ml_vectors, dense_rows, vector_pair_distances
 
 MODEL_TYPES = ("kmeans", "spectral")
 
@@ -68,27 +69,7 @@ class Clustering:
     retained: DataFrame  # (entity, label) of the entities the model was fitted on
     data: DataFrame  # (entity, features) the model was fitted on
     seed: int
-    model: KMeansModel | None = None
-
-
-def fit_kmeans(
-    features: DataFrame, k: int, seed: int, restarts: int = 10, max_iter: int = 300, tol: float = 1e-4
-) -> KMeansModel:
-    """Best of several k-means runs by cost; the runs share the executors side by side."""
-
-    def run(attempt: int) -> KMeansModel:
-        return KMeans(
-            k=k, seed=seed + attempt, initMode="k-means||", maxIter=max_iter, tol=tol,
-            featuresCol="features", predictionCol="label",
-        ).fit(features)
-
-    with ThreadPoolExecutor(max_workers=min(restarts, 8)) as pool:
-        models = list(pool.map(run, range(restarts)))
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
-def _labelled(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select("entity", F.col("label").cast("int").alias("label"))
+    model: KMeansFit | None = None
 
 
 def check_options(k: int, model: str, z_exclude: float) -> None:
@@ -106,7 +87,7 @@ def draw_seed(seed: int | None) -> int:
 
 def split_space(space: FeatureSpace, pca: bool, z_exclude: float) -> tuple[DataFrame, DataFrame | None]:
     """Features to fit on, and those set aside as outliers of the plane (None without a limit)."""
-    features = as_ml_vectors(space.features(pca))
+    features = as_arrays(space.features(pca))
     if z_exclude <= 0:
         return features, None
     marks = mark_retained(space.plane, ["pc1", "pc2"], z_exclude).select("entity", "retained")
@@ -117,30 +98,42 @@ def split_space(space: FeatureSpace, pca: bool, z_exclude: float) -> tuple[DataF
     )
 
 
-def cluster(
+def cluster_range(
     space: FeatureSpace,
-    k: int,
+    ks: Sequence[int],
     model: str = "kmeans",
     pca: bool = False,
     z_exclude: float = 0.0,
     seed: int | None = None,
     restarts: int = 10,
     gamma: float = 1.0,
-) -> Clustering:
-    """Cluster the entities; outliers are left out of the fit and then join the nearest centroid."""
-    check_options(k, model, z_exclude)
+) -> dict[int, Clustering]:
+    """One clustering per cluster number. The k-means models of all numbers share their passes.
+
+    Outliers are left out of the fit and then join the nearest centroid.
+    """
+    for k in ks:
+        check_options(k, model, z_exclude)
     seed = draw_seed(seed)
     data, excluded = split_space(space, pca, z_exclude)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    found: dict[int, Clustering] = {}
     if model == "spectral":
-        rows = as_ml_vectors(spectral_features(data, k, gamma, seed)).persist(StorageLevel.MEMORY_AND_DISK)
-        fitted = fit_kmeans(rows, k, seed, restarts)
-        retained = _labelled(fitted, rows)
-        return Clustering(retained, retained, data, seed)
-    fitted = fit_kmeans(data, k, seed, restarts)
-    retained = _labelled(fitted, data)
-    labels = retained if excluded is None else retained.unionByName(_labelled(fitted, excluded))
-    return Clustering(labels, retained, data, seed, fitted)
+        for k in ks:
+            rows = spectral_features(data, k, gamma, seed).persist(StorageLevel.MEMORY_AND_DISK)
+            labels = fit_many(rows, [k], seed, restarts)[k].labels(rows)
+            found[k] = Clustering(labels, labels, data, seed)
+        return found
+    for k, fitted in fit_many(data, ks, seed, restarts).items():
+        retained = fitted.labels(data)
+        labels = retained if excluded is None else retained.unionByName(fitted.labels(excluded))
+        found[k] = Clustering(labels, retained, data, seed, fitted)
+    return found
+
+
+def cluster(space: FeatureSpace, k: int, *args, **options) -> Clustering:
+    """Cluster the entities into ``k`` groups; the options are those of ``cluster_range``."""
+    return cluster_range(space, [k], *args, **options)[k]
 
 
 def cluster_by_power_iteration(

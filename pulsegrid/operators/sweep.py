@@ -1,4 +1,4 @@
-"""Score a range of cluster numbers: one model per number, one pass of scoring for all of them."""
+"""Score a range of cluster numbers: all models in shared passes, then one scoring for all."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.distances import DISTANCES, check_metric, distance_column
 from ..settings import checked_small
 from . import evaluation, pairs
-from .clustering import Clustering, FeatureSpace, check_options, cluster, draw_seed
+from .clustering import Clustering, FeatureSpace, check_options, cluster_range, draw_seed
 from .vectors import to_triples
 
 METRICS = ("silhouette", "calinski_harabasz", "inertia")
@@ -56,12 +56,11 @@ def sweep(
     lowest, highest = sorted((lowest, highest))
     check_options(lowest, model, z_exclude)
     seed = draw_seed(seed)
-    models = {
-        k: cluster(space, k, model, pca, z_exclude, seed, restarts, gamma) for k in range(lowest, highest + 1)
-    }
+    ks = range(lowest, highest + 1)
+    models = cluster_range(space, ks, model, pca, z_exclude, seed, restarts, gamma)
     data = models[lowest].data
     if metric == "inertia":
-        rows = [(k, float(m.model.summary.trainingCost)) for k, m in models.items()]
+        rows = [(k, m.model.cost) for k, m in models.items()]
         scores = data.sparkSession.createDataFrame(rows, "k int, value double")
     elif metric == "calinski_harabasz":
         # distances, and so both sums of squares, are those of the full matrix

@@ -20,7 +20,7 @@ from .terms import Vocabulary
 METHODS = ("lda", "nmf")
 _BATCH = 128  # documents per update
 _PASSES = 5
-_MOST_BATCHES = 40  # per pass; larger corpora take larger batches, not more of them
+_MOST_BATCHES = 32  # per pass; larger corpora take larger batches, not more of them
 
 
 def fit_lda(counts: DataFrame, topics: int, documents: int, seed: int = 0) -> LDAModel:

@@ -180,7 +180,8 @@ def topic_extraction(
     """Topics of several clusters side by side, each from its own top items."""
     if stop_words is None:
         stop_words = terms.default_stop_words()
-    corpora = {c: cluster_corpus(spark, c, sample, ordinals, tables) for c in cluster_ids}
+    # each corpus is at most ``sample`` items; it is kept, since models read it many times
+    corpora = {c: cluster_corpus(spark, c, sample, ordinals, tables).persist() for c in cluster_ids}
     return topics.topics_per_cluster(
         corpora,
         method=method,

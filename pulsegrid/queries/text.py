@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranking, terms
+from ..settings import use_all_cores
 from . import binding as b
 from .registry import query
 
@@ -31,7 +32,8 @@ tfidf AS (SELECT doc, lang, idx, term, w / sqrt(sum(w * w) OVER (PARTITION BY do
 
 
 def _docs(spark, sf_dir, *more):
-    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", *more)
+    docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", *more)
+    return use_all_cores(docs)  # a single small file is one task otherwise
 
 
 @query("term_counts", f"WITH {_COUNTS_SQL} SELECT doc, term, n FROM counts")

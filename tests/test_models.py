@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import clustering, evaluation, projection, spectral, subspace
+from pulsegrid.operators.kmeans import fit_many
 from pulsegrid.operators.sweep import sweep
 from pulsegrid.operators.vectors import nearest_centroid
 
@@ -72,7 +73,7 @@ def test_two_blobs(spark):
     inertia = evaluation.within_sum_of_squares(
         as_triples(spark, BLOBS + 1e-300), result.labels
     ).first()["inertia"]
-    assert result.model.summary.trainingCost == pytest.approx(inertia)
+    assert result.model.cost == pytest.approx(inertia)
 
 
 def test_excluded_entity_joins_its_nearest_blob(spark):
@@ -100,11 +101,27 @@ def test_options_are_checked(spark):
 
 def test_more_restarts_never_cost_more(spark):
     vectors = as_vectors(spark, sparse(30, 4, 8))
-    data = clustering.as_ml_vectors(vectors).coalesce(1).cache()
-    costs = [clustering.fit_kmeans(data, 6, 1, n).summary.trainingCost for n in (1, 4)]
+    costs = [fit_many(vectors, [6], 1, n)[6].cost for n in (1, 4)]
     assert costs[1] <= costs[0] + 1e-9
 
 
+def test_kmeans_reaches_a_fixed_point_whatever_the_partitions(spark):
+    data = sparse(40, 5, 16)
+    fits = [fit_many(as_vectors(spark, data).repartition(n), [2, 5], 3, 3) for n in (1, 6)]
+    for k in (2, 5):
+        one, other = (f[k] for f in fits)
+        assert one.cost == pytest.approx(other.cost) and one.centres == pytest.approx(other.centres)
+        gaps = ((data[:, None] - one.centres[None]) ** 2).sum(-1)
+        assert one.cost == pytest.approx(gaps.min(axis=1).sum())
+        for c in range(k):
+            assert one.centres[c] == pytest.approx(data[gaps.argmin(axis=1) == c].mean(axis=0), abs=1e-3)
+
+
+def test_fewer_distinct_rows_than_clusters(spark):
+    vectors = as_vectors(spark, np.array([[1.0, 2.0]] * 5))
+    assert fit_many(vectors, [3], 0, 2)[3].cost == pytest.approx(0.0)
+
+
 @pytest.mark.parametrize("pca", [False, True])
 def test_sweep_silhouette_equals_brute_force(spark, pca):
     data = sparse(12, 7, 9)
@@ -142,9 +159,8 @@ def test_spectral_finds_components_by_both_routes(spark):
     data = np.vstack([rng.normal(0, 0.4, (8, 2)), rng.normal(0, 0.4, (8, 2)) + [9, 0]])
     vectors = as_vectors(spark, data)
     for block in (1024, 5):
-        rows = clustering.as_ml_vectors(spectral.spectral_features(vectors, 2, 1.0, 0, block, 30))
-        model = clustering.fit_kmeans(rows.cache(), 2, 0, 3)
-        got = labels_of(clustering._labelled(model, rows))
+        rows = spectral.spectral_features(vectors, 2, 1.0, 0, block, 30).cache()
+        got = labels_of(fit_many(rows, [2], 0, 3)[2].labels(rows))
         assert len({got[i] for i in range(8)}) == 1 and len({got[i] for i in range(8, 16)}) == 1
         assert got[0] != got[8]
 
