@@ -154,16 +154,27 @@ def top_items(
     return best
 
 
-def cluster_corpus(
-    spark: SparkSession,
-    cluster_id: str,
-    sample: int = 500,
-    ordinals: DataFrame | None = None,
-    tables: Tables = Tables(),
+def cluster_corpora(
+    events: DataFrame, items: DataFrame, cluster_ids: Sequence[str], ordinals: DataFrame, sample: int = 500
 ) -> DataFrame:
-    """``(doc, text)``: title and body of the cluster's most engaged items."""
-    best = top_items(spark, cluster_id, sample, True, None, "title", ordinals, tables)
-    return terms.corpus(best.select(F.col("title").alias("doc"), "title", "body"))
+    """``(cluster_id, doc, text)``: title and body of every cluster's most engaged items, from one
+    pass over the events for all clusters."""
+    if sample < 1:
+        raise ValueError("sample must be at least 1")
+    for code in cluster_ids:
+        ranking.members_of(code, ordinals)  # refuses a bad code before any job
+    ids = events.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(cluster_ids)], "cluster_id string")
+    members = clusters.cluster_members(ids, ordinals)
+    best = ranking.top_items_per_cluster(events, items, members, sample)
+    return terms.corpus(best.select("cluster_id", F.col("title").alias("doc"), "title", "body"))
+
+
+def cluster_topics(docs: DataFrame, cluster_ids: Sequence[str], **options) -> DataFrame:
+    """Topics of each cluster's part of ``docs``, which holds at most a sample per cluster and is
+    kept while the models read it again and again."""
+    docs = docs.persist()
+    corpora = {c: docs.filter(F.col("cluster_id") == c).select("doc", "text") for c in cluster_ids}
+    return topics.topics_per_cluster(corpora, **options)
 
 
 def topic_extraction(
@@ -178,14 +189,16 @@ def topic_extraction(
     tables: Tables = Tables(),
 ) -> DataFrame:
     """Topics of several clusters side by side, each from its own top items."""
-    if stop_words is None:
-        stop_words = terms.default_stop_words()
-    # each corpus is at most ``sample`` items; it is kept, since models read it many times
-    corpora = {c: cluster_corpus(spark, c, sample, ordinals, tables).persist() for c in cluster_ids}
-    return topics.topics_per_cluster(
-        corpora,
+    catalog.require_tables(spark, tables.loaded)
+    ordinals = ordinals if ordinals is not None else clusters.state_ordinals(spark)
+    docs = cluster_corpora(
+        spark.table(tables.events), spark.table(tables.items), cluster_ids, ordinals, sample
+    )
+    return cluster_topics(
+        docs,
+        cluster_ids,
         method=method,
         number_of_topics=number_of_topics,
         words_per_topic=words_per_topic,
-        stop_words=stop_words,
+        stop_words=terms.default_stop_words() if stop_words is None else stop_words,
     )

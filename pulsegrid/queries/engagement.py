@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base58 import ALPHABET
 from ..operators import clusters, ranking, rates
+from ..plans.commands import cluster_corpora
 from . import binding as b
 from .registry import query
 
@@ -162,3 +163,26 @@ def _(spark, sf_dir):
     ids = clusters.cluster_ids(b.region_labels(spark, sf_dir), b.ordinals(spark, sf_dir))
     members = clusters.cluster_members(ids.select("cluster_id"), b.ordinals(spark, sf_dir))
     return ranking.top_items_per_cluster(b.located(spark, sf_dir), b.items(spark, sf_dir), members, 10)
+
+
+@query(
+    "cluster_corpus",
+    f"""WITH {b.LOCATED_SQL}, {ITEMS_SQL}, {CODES_SQL},
+    counted AS (SELECT cluster_id, title, count(*) AS signatures, arg_min(body, item) AS body
+      FROM located JOIN nation ON entity = n_nationkey JOIN codes ON label = n_regionkey
+      JOIN items USING (item) GROUP BY 1, 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY signatures DESC, title) AS rank FROM counted)
+    SELECT cluster_id, title AS doc, title || ' ' || body AS text FROM ranked WHERE rank <= 50""",
+)
+def _(spark, sf_dir):
+    return region_corpora(spark, sf_dir, 50)[0]
+
+
+def region_corpora(spark, sf_dir, sample):
+    """Corpora of the regions' clusters, and their codes (one per region)."""
+    ids = clusters.cluster_ids(b.region_labels(spark, sf_dir), b.ordinals(spark, sf_dir))
+    codes = sorted(r["cluster_id"] for r in ids.collect())
+    docs = cluster_corpora(
+        b.located(spark, sf_dir), b.items(spark, sf_dir), codes, b.ordinals(spark, sf_dir), sample
+    )
+    return docs, codes

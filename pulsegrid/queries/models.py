@@ -8,7 +8,9 @@ from ..operators import clustering, projection
 from ..operators.sweep import sweep
 from ..operators.topics import topics_per_cluster
 from ..operators.vectors import as_arrays
+from ..plans.commands import cluster_topics
 from . import binding as b
+from .engagement import region_corpora
 from .registry import query
 from .text import STOP_WORDS
 
@@ -108,3 +110,15 @@ def _(spark, sf_dir):
 @query("nmf_topics")
 def _(spark, sf_dir):
     return topics_per_cluster(_languages(spark, sf_dir), method="nmf", stop_words=STOP_WORDS)
+
+
+@query("topics_of_clusters_lda")
+def _(spark, sf_dir):
+    docs, codes = region_corpora(spark, sf_dir, 500)
+    return cluster_topics(docs, codes, method="lda")
+
+
+@query("topics_of_clusters_nmf")
+def _(spark, sf_dir):
+    docs, codes = region_corpora(spark, sf_dir, 500)
+    return cluster_topics(docs, codes, method="nmf")
