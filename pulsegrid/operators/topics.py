@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..settings import spread_rows
 from . import nmf, terms
-from ..settings import use_all_cores
 from .ranking import top_terms
 from .terms import Vocabulary
 
@@ -78,14 +78,14 @@ def topics(
         raise ValueError("ask for at least one topic and one word")
     vocab = terms.fit_vocabulary(docs, stop_words, **limits)
     if method == "lda":
-        counts = use_all_cores(terms.count_vectors(docs, vocab, stop_words)).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = spread_rows(terms.count_vectors(docs, vocab, stop_words), vocab.documents).persist(StorageLevel.MEMORY_AND_DISK)
         if number_of_topics == 1:  # Spark's LDA starts at two; one topic is the term distribution
             return _single_topic(counts, vocab, words_per_topic)
         model = fit_lda(counts, number_of_topics, vocab.documents)
         listed = lda_terms(model, vocab, words_per_topic)
         counts.unpersist()
         return listed
-    vectors = use_all_cores(terms.tfidf_vectors(docs, vocab, stop_words))
+    vectors = spread_rows(terms.tfidf_vectors(docs, vocab, stop_words), vocab.documents)
     factors = nmf.factorise(vectors, len(vocab.terms), number_of_topics)
     return nmf_terms(factors, vocab, words_per_topic, docs.sparkSession)
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import clustering, projection
 from ..operators.sweep import sweep
 from ..operators.topics import topics_per_cluster
-from ..operators.vectors import as_arrays
+from ..operators.vectors import as_arrays, vector_pair_distances
 from ..plans.commands import cluster_topics
 from . import binding as b
+from .binding import RATES_SQL
+from .distance import STATS_SQL
 from .engagement import region_corpora
 from .registry import query
 from .text import STOP_WORDS
@@ -29,6 +31,30 @@ def _(spark, sf_dir):
     return projection.plane_of_triples(b.rates(spark, sf_dir), b.ordinals(spark, sf_dir))
 
 
+# Not SQL themselves, the compact coordinates must keep the distances of the whole matrix.
+@query(
+    "compact_distances",
+    f"WITH {STATS_SQL} SELECT a, b, round(sqrt(sq), 4) AS distance FROM stats",
+)
+def _(spark, sf_dir):
+    rows = projection.compact_coordinates(b.rates(spark, sf_dir), b.ordinals(spark, sf_dir))
+    return vector_pair_distances(rows).withColumn("distance", F.round("distance", 4))
+
+
+@query(
+    "plane_spread",
+    f"""WITH {RATES_SQL}, present AS (SELECT count(DISTINCT entity) AS n FROM rates),
+    item_means AS (SELECT item, sum(rate) / any_value(n) AS m FROM rates, present GROUP BY item)
+    SELECT round((SELECT sum(rate * rate) FROM rates) - (SELECT n * sum(m * m) FROM item_means, present
+      GROUP BY n), 1) AS total""",
+)
+def _(spark, sf_dir):
+    """The components together hold all the spread of the matrix."""
+    rows = projection.compact_coordinates(b.rates(spark, sf_dir), b.ordinals(spark, sf_dir))
+    square = F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)
+    return rows.agg(F.round(F.sum(square), 1).alias("total"))
+
+
 @query("pca2_vectors")
 def _(spark, sf_dir):
     return projection.plane_of_vectors(_embeddings(spark, sf_dir))

@@ -49,3 +49,12 @@ def use_all_cores(df: DataFrame) -> DataFrame:
     """Spread a table that is about to be iterated over when it has fewer partitions than cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_rows(df: DataFrame, rows: int, per_task: int = 256) -> DataFrame:
+    """Partition a table of known size for iterating over it: one task for a tiny table, all cores
+    for a larger one; a table that has at least that many partitions stays as it is."""
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task))
+    if wanted <= 1:
+        return df.coalesce(1)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
