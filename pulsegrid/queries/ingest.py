@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import attributes, clusters
+from ..settings import use_all_cores
 from ..sources.catalog import table_fingerprint
 from ..sources.dump import dump_rows
 from . import binding as b
@@ -22,7 +23,7 @@ def _quoted(column):
 
 def _dump_lines(spark, sf_dir):
     """The document table written as a dump: one INSERT line per document, quotes escaped."""
-    documents = b.table(spark, sf_dir, "documents")
+    documents = use_all_cores(b.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     row = F.concat(
         F.lit("("), F.col("doc_id").cast("string"), F.lit(","), _quoted(F.col("text")), F.lit(",NULL,"),
         _quoted(F.col("lang")), F.lit(")"),

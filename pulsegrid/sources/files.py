@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The layouts of the input files.
-EVENT_FIELDS = "id string, petition_id string, type string, initials string, zip string, timestamp string"
+EVENT_FIELDS = "id string, item string, kind string, initials string, location string, made string"
 LOCATION_COLUMNS = ("Postal Code", "State Abbreviation")
 WEIGHT_COLUMNS = ("abb", "population")
 
@@ -23,7 +23,7 @@ def _with_header(spark: SparkSession, path: str) -> DataFrame:
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Raw events without a header: ``(location, item)``; the other fields are not parsed."""
     rows = _headless(spark, path, EVENT_FIELDS)
-    return rows.select(F.col("zip").alias("location"), F.col("petition_id").alias("item"))
+    return rows.select("location", "item")
 
 
 def read_locations(spark: SparkSession, path: str) -> DataFrame:

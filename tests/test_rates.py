@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import attributes, outliers, ranking, rates
+from pulsegrid.settings import checked_small
 
 
 @pytest.fixture
@@ -88,3 +89,27 @@ def test_zscore_is_strict_and_constant_columns_exclude_all(spark):
     kept, out = outliers.outlier_split(df, ["x", "c"], 1.01)
     assert (kept.count(), out.count()) == (0, 4)
     assert outliers.outlier_split(df, ["x", "c"], 0.0)[0].count() == 4
+
+
+def test_a_dimension_over_the_limit_is_not_pinned(spark):
+    df = spark.range(5)
+    assert checked_small(df, 4) is df
+    pinned = checked_small(df, 5)
+    assert sorted(r[0] for r in pinned.collect()) == list(range(5)) and pinned.schema == df.schema
+
+
+def test_rates_with_a_shuffled_dimension_and_hot_keys(spark, monkeypatch):
+    """A third of the events in one entity and one item, and weights too many to broadcast."""
+    events = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).cast("int").alias("entity"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 70).cast("int").alias("item"),
+    )
+    entities = spark.range(50).select(F.col("id").cast("int").alias("entity"), (F.col("id") + 10).alias("weight"))
+    got = {(r["entity"], r["item"]): r["rate"] for r in rates.engagement_rates(events, entities).collect()}
+    monkeypatch.setattr(rates, "checked_small", lambda df, *a: df)
+    again = {(r["entity"], r["item"]): r["rate"] for r in rates.engagement_rates(events, entities).collect()}
+    want = {}
+    for r in events.collect():
+        want[tuple(r)] = want.get(tuple(r), 0) + 1
+    want = {k: n * 1000 / (k[0] + 10) for k, n in want.items()}
+    assert got == again and got == pytest.approx(want)
