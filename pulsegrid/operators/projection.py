@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..settings import cut_lineage
 from . import pairs, subspace
 from .attributes import attach_group_colour, OTHER_COLOUR
 from .outliers import mark_retained
@@ -97,6 +98,7 @@ def plane_by_iteration(triples: DataFrame, max_iter: int = 60, seed: int = 0) ->
     """``(entity, pc1, pc2)`` when entities and items are both many: joins and sums only."""
     rank = 8  # two components and six more for speed of convergence
     ys = subspace.column_names(rank)
+    triples = cut_lineage(triples.select("entity", "item", "rate"))  # every step reads it twice
 
     def covariance_step(y: DataFrame) -> DataFrame:
         per_item = triples.join(y, "entity").groupBy("item").agg(

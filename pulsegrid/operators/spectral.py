@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distances import block_distances
+from ..settings import cut_lineage
 from . import subspace
-from .vectors import BLOCK, as_arrays, block_pairs, vector_pair_distances
+from .vectors import BLOCK, as_arrays, block_pairs, vector_pair_distances, vector_shape
 
 
 def spectral_features(
@@ -49,7 +50,9 @@ def _degree_root(degree: np.ndarray) -> np.ndarray:
     return np.sqrt(np.where(degree > 0, degree, 1.0))
 
 
-def affinity_sums(vectors: DataFrame, columns: list[str], gamma: float, block: int | None) -> DataFrame:
+def affinity_sums(
+    vectors: DataFrame, columns: list[str], gamma: float, block: int | None, shape: tuple[int, int]
+) -> DataFrame:
     """For every entity, the affinity-weighted sum of ``columns`` over the other entities."""
     kind = vectors.schema["entity"].dataType.simpleString()
     schema = f"entity {kind}, " + ", ".join(f"{c} double" for c in columns)
@@ -69,15 +72,14 @@ def affinity_sums(vectors: DataFrame, columns: list[str], gamma: float, block: i
             for rows, total in parts
         )
 
-    partial = block_pairs(vectors, work, schema, block)
+    partial = block_pairs(vectors, work, schema, block, shape)
     return partial.groupBy("entity").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def _by_iteration(vectors, k, gamma, seed, block, max_iter) -> DataFrame:
-    from ..settings import cut_lineage
-
+    shape = vector_shape(vectors)
     ones = vectors.withColumn("degree", F.lit(1.0))
-    degrees = cut_lineage(affinity_sums(ones, ["degree"], gamma, block))
+    degrees = cut_lineage(affinity_sums(ones, ["degree"], gamma, block, shape))
     root = F.sqrt(F.when(F.col("degree") > 0, F.col("degree")).otherwise(1.0))
     based = cut_lineage(vectors.join(degrees.select("entity", root.alias("root")), "entity"))
     rank = k + 6  # the extra columns speed up convergence
@@ -88,7 +90,7 @@ def _by_iteration(vectors, k, gamma, seed, block, max_iter) -> DataFrame:
         scaled = based.join(y, "entity").select(
             "entity", "features", *[(F.col(c) / F.col("root")).alias(c) for c in ys]
         )
-        sums = affinity_sums(scaled, ys, gamma, block).select(
+        sums = affinity_sums(scaled, ys, gamma, block, shape).select(
             "entity", *[F.col(c).alias(f"s_{c}") for c in ys]
         )
         joined = y.join(sums, "entity").join(based.select("entity", "root"), "entity")

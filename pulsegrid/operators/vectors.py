@@ -95,17 +95,27 @@ def metric_transform(vectors: DataFrame, metric: str) -> np.ndarray | None:
     return None
 
 
+def vector_shape(vectors: DataFrame) -> tuple[int, int]:
+    """Number of rows and longest vector."""
+    row = as_arrays(vectors).agg(F.count("*").alias("n"), F.max(F.size("features")).alias("length")).first()
+    return row["n"], row["length"] or 0
+
+
 def block_pairs(
     vectors: DataFrame,
     work: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
     schema: str,
     block: int | None = None,
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Run ``work(left rows, right rows, same block)`` once per unordered pair of blocks."""
+    """Run ``work(left rows, right rows, same block)`` once per unordered pair of blocks.
+
+    ``shape`` (rows, longest vector) saves the job that finds it.
+    """
     vectors = as_arrays(vectors)
-    size = vectors.agg(F.max(F.size("features")).alias("length"), F.count("*").alias("n")).first()
-    room = block or int(np.clip(_BLOCK_CELLS // max(1, size["length"] or 1), 16, BLOCK))
-    blocks = max(1, ceil(size["n"] / room))
+    n, length = shape or vector_shape(vectors)
+    room = block or int(np.clip(_BLOCK_CELLS // max(1, length), 16, BLOCK))
+    blocks = max(1, ceil(n / room))
     mine = F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int")
     spread = (
         vectors.withColumn("_mine", mine)

@@ -159,7 +159,7 @@ def test_spectral_finds_components_by_both_routes(spark):
     data = np.vstack([rng.normal(0, 0.4, (8, 2)), rng.normal(0, 0.4, (8, 2)) + [9, 0]])
     vectors = as_vectors(spark, data)
     for block in (1024, 5):
-        rows = spectral.spectral_features(vectors, 2, 1.0, 0, block, 30).cache()
+        rows = spectral.spectral_features(vectors, 2, 1.0, 0, block, 8).cache()
         got = labels_of(fit_many(rows, [2], 0, 3)[2].labels(rows))
         assert len({got[i] for i in range(8)}) == 1 and len({got[i] for i in range(8, 16)}) == 1
         assert got[0] != got[8]
