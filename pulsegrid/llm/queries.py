@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, recipes, simhash, sketch, toxicity
+from . import bpe, mixing, pii, recipes, simhash, sketch, substrings, toxicity, unigram, url_filters
 from .common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,27 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: The stated rules of op1, as (host, path, verdict).
+URL_RULES = [
+    url_filters.Rule("net", "/", "block"),
+    url_filters.Rule("example.net", "/en/", "allow"),
+    url_filters.Rule("example.com", "/de/", "block"),
+    url_filters.Rule("org", "/fr/", "allow"),
+]
+
+
+@query("op1_url_filters")
+def op1_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    mined = url_filters.mine(url_filters.label_pages(pages, table(spark, sf_dir, "labels")))
+    return url_filters.judge(pages, URL_RULES, mined)
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark, sf_dir):
     return bpe.encoded_digests(
@@ -36,6 +57,11 @@ def op4_simhash(spark, sf_dir):
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op5_token_counts")
+def op5_token_counts(spark, sf_dir):
+    return unigram.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(
     "op6_exact_dedup",
     r"""
@@ -115,3 +141,8 @@ def op8_fingerprints(spark, sf_dir):
 @query("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_pii")
+def op10_pii(spark, sf_dir):
+    return pii.personal_values(table(spark, sf_dir, "documents"))
