@@ -42,10 +42,16 @@ def ids_of(tokenizer: tiktoken.Encoding, text: str) -> bytes:
     return tokenizer.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
+def splitter(pattern: str) -> regex.Pattern:
+    """The pattern as the tokenizer's own engine reads it: there, blanks are Unicode's White_Space."""
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+
 def boundaries(pattern: regex.Pattern, text: str, first: int, last: int, cut: bool) -> tuple[list[int], list[int]]:
     """Starts of pre-tokens below ``first``; ends from ``last`` on at which the text may be divided.
 
-    Dividing at an end is safe when the pre-token before it stays the same if the text stops there.
+    Dividing at an end is safe behind a character that is no blank and if the pre-token before it stays
+    the same when the text stops there: patterns look ahead behind blanks only.
     """
     heads, tails = [], []
     usable = len(text) - MARGIN
@@ -53,7 +59,7 @@ def boundaries(pattern: regex.Pattern, text: str, first: int, last: int, cut: bo
         start, end = match.span()
         if start < first:
             heads.append(start)
-        if cut and last <= end < usable:
+        if cut and last <= end < usable and not text[end - 1].isspace():
             alone = pattern.match(text, start, end)
             if alone and alone.end() == end:
                 tails.append(end)
@@ -129,7 +135,7 @@ def encode(
     parts = parts.repartition("key", "k").dropDuplicates(["key", "k"])
 
     def pretokenise(batches):
-        compiled = regex.compile(pattern)
+        compiled = splitter(pattern)
         ints = pa.list_(pa.int32())
         schema = pa.schema([("key", pa.string()), ("k", pa.int32()), ("heads", ints), ("tails", ints)])
 

@@ -226,7 +226,7 @@ KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
     ("card", r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}", _card),
     ("card", r"\d{4}([ -])\d{6}\1\d{5}", _card),
     ("phone", r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}", _phone),
-    ("phone", r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,5}\)?){2,6}", _abroad),
+    ("phone", r"\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,5}\)|\d{1,5})){2,6}", _abroad),
 ]
 # A value neither starts nor ends inside a word or a longer number.
 _EDGE, _END = r"(?<![\w.@+-])", r"(?![\w@]|[.,-]\d)"

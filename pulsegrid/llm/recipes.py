@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, whole_text
 
 # A chunk has at least CHUNK_MIN characters and ends behind the first following cut mark: a blank that
-# comes after one of these letter pairs. Without a mark it ends at CHUNK_MAX characters.
-CHUNK_MIN, CHUNK_MAX = 768, 8192
-CUT_MARKS = ("es", "on", "er", "de", "s.", "e,", "n.")
+# comes after one of these pairs, which are rare enough that two texts with a common part soon choose the
+# same mark. Without a mark a chunk ends at CHUNK_MAX characters.
+CHUNK_MIN, CHUNK_MAX = 320, 8192
+CUT_MARKS = ("st", "la", "t.")
 
 
 def normalised(text: str | Column = "text") -> Column:
