@@ -41,6 +41,7 @@ class FeatureSpace:
         Few entities may have any number of items, and many entities a bounded number of items.
         When both are many, the plane still comes out (``pca=True``); the full rows do not.
         """
+        triples = triples.join(entities.select("entity"), "entity", "left_semi")
         if not projection.few_entities(entities):
             if triples.select("item").distinct().limit(WIDEST_ROW + 1).count() <= WIDEST_ROW:
                 return cls.from_vectors(dense_rows(triples, "entity", "item"))

@@ -21,17 +21,23 @@ def state_ordinals(spark: SparkSession) -> DataFrame:
 
 
 def _pinned(ordinals: DataFrame) -> tuple[DataFrame, int]:
-    width = len(ordinals.take(MAX_WIDTH + 1))
+    """The ordinal table, pinned, and its width; entities and ordinals have to be there once each."""
+    rows = ordinals.select("entity", "ord").take(MAX_WIDTH + 1)
+    width = len(rows)
     check_width(width)
+    if sorted(r["ord"] for r in rows) != list(range(width)) or len({r["entity"] for r in rows}) < width:
+        raise ValueError("ordinals must number every entity once, from 0 on")
     return checked_small(ordinals.select("entity", "ord"), MAX_WIDTH), width
 
 
 def cluster_ids(labels: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """``labels(entity, label)`` to ``(label, mask, cluster_id)``."""
+    """``labels(entity, label)`` to ``(label, mask, cluster_id)``; an entity without an ordinal raises."""
     table, width = _pinned(ordinals)
+    complaint = F.concat(F.lit("no ordinal for entity "), F.coalesce(F.col("entity").cast("string"), F.lit("null")))
     bit = F.expr(f"shiftleft(1L, {width - 1} - ord)")
+    bit = F.when(F.col("ord").isNull(), F.raise_error(complaint).cast("long")).otherwise(bit)
     return (
-        labels.join(table, "entity")
+        labels.join(table, "entity", "left")
         .groupBy("label")
         .agg(F.bit_or(bit).alias("mask"))
         .withColumn("cluster_id", F.expr(encode_sql("mask")))

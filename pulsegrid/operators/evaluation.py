@@ -62,31 +62,40 @@ def silhouette_vectors(
 
 
 def _sums_of_squares(triples: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(k, within, between, clusters, members)`` from sparse triples: absent cells add nothing.
+    """``(k, within, between, clusters, members)`` from sparse triples: absent cells are zeros.
 
-    Labelled entities are the rows of the matrix, so only those that occur should be labelled.
+    Labelled entities are the rows of the matrix, so only those that occur should be labelled. Gaps to
+    the means are squared, not values, so scores do not depend on where the origin is.
     """
     labels = checked_small(_keyed(labels))
     sizes = labels.groupBy("k", "label").agg(F.count("*").alias("size"))
     sizes = checked_small(sizes)
-    totals = sizes.groupBy("k").agg(F.sum("size").alias("members"), F.count("*").alias("clusters"))
-    rate = F.col("rate")
-    per_cell = (
-        triples.join(labels, "entity")
-        .groupBy("k", "label", "item")
-        .agg(F.sum(rate).alias("s"), F.sum(rate * rate).alias("q"))
+    totals = checked_small(sizes.groupBy("k").agg(F.sum("size").alias("members"), F.count("*").alias("clusters")))
+    cells = triples.join(labels, "entity").select("k", "label", "item", "rate")
+    # Clusters without a cell in an item have mean 0 there.
+    means = (
+        cells.groupBy("k", "label", "item")
+        .agg(F.sum("rate").alias("s"), F.count("*").alias("here"))
         .join(sizes, ["k", "label"])
+        .withColumn("mean", F.col("s") / F.col("size"))
     )
-    per_item = per_cell.groupBy("k", "item").agg(
-        F.sum("q").alias("q"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s") / F.col("size")).alias("g")
+    gap = F.col("rate") - F.col("mean")
+    near = cells.join(means.select("k", "label", "item", "mean"), ["k", "label", "item"])
+    near = near.groupBy("k").agg(F.sum(gap * gap).alias("near"))
+    absent = (F.col("size") - F.col("here")) * F.col("mean") * F.col("mean")
+    overall = means.groupBy("k", "item").agg(
+        F.sum("s").alias("s"), F.sum("size").alias("present"), F.sum(absent).alias("absent")
     )
-    sums = per_item.groupBy("k").agg(
-        F.sum("q").alias("q"), F.sum("g").alias("g"), F.sum(F.col("s") * F.col("s")).alias("s2")
-    )
-    return sums.join(checked_small(totals), "k").select(
+    overall = overall.join(totals, "k").withColumn("overall", F.col("s") / F.col("members"))
+    away = F.col("mean") - F.col("overall")
+    apart = means.join(overall.select("k", "item", "overall"), ["k", "item"])
+    apart = apart.groupBy("k").agg(F.sum(F.col("size") * away * away).alias("apart"))
+    rest = (F.col("members") - F.col("present")) * F.col("overall") * F.col("overall")
+    zeros = overall.groupBy("k").agg(F.sum("absent").alias("absent"), F.sum(rest).alias("rest"))
+    return zeros.join(near, "k").join(apart, "k").join(totals, "k").select(
         "k",
-        (F.col("q") - F.col("g")).alias("within"),
-        (F.col("g") - F.col("s2") / F.col("members")).alias("between"),
+        (F.col("near") + F.col("absent")).alias("within"),
+        (F.col("apart") + F.col("rest")).alias("between"),
         "clusters",
         "members",
     )

@@ -147,7 +147,7 @@ def pair_stats(
         .filter((F.col("ca") > 0) & (F.col("cb") > 0))  # both occur in the triples
     )
     if blocks > 1:  # a block pair saw only its own items
-        merged = merged.withColumn("d", triples.agg(F.count_distinct("item")).scalar())
+        merged = merged.withColumn("d", cells.agg(F.count_distinct("item")).scalar())
     for side, place, number in (("a", "p", "i"), ("b", "q", "j")):
         named = index.select(
             F.col("entity").alias(side), F.col("block").alias(place), F.col("pos").alias(number)
@@ -163,14 +163,22 @@ def pair_stats(
 
 
 def scale_by_deviation(triples: DataFrame, n_entities: int) -> DataFrame:
-    """Divide every rate by its item's sample deviation over all entities, zeros included; items
-    without spread drop out."""
+    """Divide every rate by its item's sample deviation over all entities, zeros included. Only items
+    whose values are all equal drop out. Gaps to the mean are squared, not values, so large values with
+    small gaps keep theirs."""
     rate, n = F.col("rate"), F.lit(float(n_entities))
-    moments = triples.groupBy("item").agg(F.sum(rate).alias("s"), F.sum(rate * rate).alias("q"))
-    variance = (F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)
-    spread = moments.select("item", F.sqrt(variance).alias("spread"), (F.col("q") * 1e-12).alias("noise"))
-    spread = spread.filter(F.col("spread") * F.col("spread") > F.col("noise"))
-    return triples.join(spread, "item").select(
+    moments = triples.groupBy("item").agg(
+        (F.sum(rate) / n).alias("mean"), F.count("*").alias("here"), F.min(rate).alias("low"), F.max(rate).alias("high")
+    )
+    varied = (F.col("low") < F.col("high")) | ((F.col("here") < n) & ((F.col("low") != 0) | (F.col("high") != 0)))
+    moments = moments.filter(varied).select("item", "mean", "here")
+    gap = rate - F.col("mean")
+    spread = triples.join(moments, "item").groupBy("item").agg(
+        F.sum(gap * gap).alias("gaps"), F.first("mean").alias("mean"), F.first("here").alias("here")
+    )
+    absent = (n - F.col("here")) * F.col("mean") * F.col("mean")
+    spread = spread.select("item", F.sqrt((F.col("gaps") + absent) / (n - 1)).alias("spread"))
+    return triples.join(spread.filter("spread > 0"), "item").select(
         "entity", "item", (F.col("rate") / F.col("spread")).alias("rate")
     )
 

@@ -58,6 +58,15 @@ def engagement_rates(events: DataFrame, entities: DataFrame, per: int = 1000) ->
     )
 
 
+def pivot_items(items: DataFrame) -> list:
+    """The distinct items in order, as columns of a wide table; more than Spark pivots raise."""
+    most = int(items.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = [r["item"] for r in items.select("item").where("item is not null").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} items for a wide table")
+    return sorted(found)
+
+
 def rate_matrix(triples: DataFrame, items: Sequence | None = None) -> DataFrame:
     """Wide form, one row per entity and one column per item, zeros filled in.
 

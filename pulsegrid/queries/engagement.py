@@ -48,6 +48,7 @@ def _brand_events(spark, sf_dir):
     )
 
 
+# The brands of the given tables; the query itself reads them from part.
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
@@ -62,8 +63,10 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
     + " FROM branded GROUP BY entity",
 )
 def _(spark, sf_dir):
-    wide = rates.rate_matrix(_brand_events(spark, sf_dir), BRANDS)
-    return wide.select("entity", *[F.round(F.col(f"`{x}`"), 6).alias(x) for x in BRANDS])
+    part = b.table(spark, sf_dir, "part")
+    brands = rates.pivot_items(part.select(F.col("p_brand").alias("item")))
+    wide = rates.rate_matrix(_brand_events(spark, sf_dir), brands)
+    return wide.select("entity", *[F.round(F.col(f"`{x}`"), 6).alias(x) for x in brands])
 
 
 @query(

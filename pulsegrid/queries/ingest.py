@@ -65,21 +65,34 @@ def _(spark, sf_dir):
     return dump_rows(pages.select(row.alias("value")), "pages", ["id", "html", "url"], strip=False)
 
 
-_FINGERPRINT_SQL = """SELECT count(*) AS rows, sum(('0x' || substr(md5({fields}), 1, 8))::BIGINT)::VARCHAR
-AS checksum FROM {table}"""
+_FINGERPRINT_SQL = """SELECT count(*) AS rows, sum(('0x' || substr(digest, 1, 16))::UBIGINT)::VARCHAR || '-'
+|| sum(('0x' || substr(digest, 17, 16))::UBIGINT)::VARCHAR AS checksum
+FROM (SELECT md5(concat({fields})) AS digest FROM {table})"""
+
+
+def _field_sql(text: str) -> str:
+    return f"coalesce(length({text})::VARCHAR || ':' || {text}, 'null')"
 
 
 @query(
     "table_fingerprint",
     _FINGERPRINT_SQL.format(
         table="orders",
-        fields="concat_ws('|', coalesce(o_orderkey::VARCHAR, '∅'), coalesce(o_custkey::VARCHAR, '∅'), "
-        "coalesce(o_orderstatus, '∅'), coalesce(o_orderpriority, '∅'))",
+        fields=", ".join(
+            _field_sql(c)
+            for c in (
+                "o_orderkey::VARCHAR",
+                "o_custkey::VARCHAR",
+                "o_orderstatus",
+                "o_totalprice::VARCHAR",
+                "epoch_us(o_orderdate)::VARCHAR",
+                "o_orderpriority",
+            )
+        ),
     ),
 )
 def _(spark, sf_dir):
-    orders = b.table(spark, sf_dir, "orders")
-    return table_fingerprint(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return table_fingerprint(b.table(spark, sf_dir, "orders"))
 
 
 @query(

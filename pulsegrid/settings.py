@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +23,17 @@ def checked_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the cluster names; set one only for an unset local session."""
+    """Return the checkpoint folder: the one in use, else the one that spark.checkpoint.dir names, else
+    one below the warehouse, which all executors share as well."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="pulsegrid-checkpoint-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pulsegrid_checkpoints"
     context.setCheckpointDir(named)
-    return named
+    return context.getCheckpointDir() or named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,9 +49,8 @@ def use_all_cores(df: DataFrame) -> DataFrame:
 
 
 def spread_rows(df: DataFrame, rows: int, per_task: int = 256) -> DataFrame:
-    """Partition a table of known size for iterating over it: one task for a tiny table, all cores
-    for a larger one; a table that has at least that many partitions stays as it is."""
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task))
-    if wanted <= 1:
-        return df.coalesce(1)
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    """Partition a table of known size for iterating over it: one partition for each ``per_task`` rows,
+    at most one for each core unless that would give large ones. What is read before the shuffle keeps
+    its own tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, -(-rows // per_task)), -(-rows // (per_task * 256))))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PROBE = "pulsegrid_write_probe"
 _SOURCE = "pulsegrid.source"
-NULL_MARK = "∅"
 
 
 class MissingTables(RuntimeError):
@@ -52,30 +51,45 @@ def read_table(spark: SparkSession, name: str, *columns: str) -> DataFrame:
     return table.select(*columns) if columns else table
 
 
-def write_table(df: DataFrame, name: str, spread_by: str | None = None, files_per_value: int = 32) -> None:
+def write_table(df: DataFrame, name: str, spread_by: str | None = None) -> None:
     """Overwrite a managed Parquet table.
 
-    ``spread_by`` lays the table out by a column, so that filters on it skip the other folders. A
-    value that holds much of the data is spread over ``files_per_value`` tasks.
+    ``spread_by`` lays the table out by a column, so that filters on it skip the other folders. The
+    layout is a rebalance: adaptive execution splits a value that holds much of the data by its size.
     """
     if spread_by is None:
         df.write.mode("overwrite").format("parquet").saveAsTable(name)
         return
-    others = [c for c in df.columns if c != spread_by]
-    part = F.pmod(F.xxhash64(*others), F.lit(files_per_value)) if others else F.lit(0)
-    spread = df.repartition(F.col(spread_by), part)
+    spread = df.hint("rebalance", F.col(spread_by))
     spread.write.mode("overwrite").format("parquet").partitionBy(spread_by).saveAsTable(name)
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """``(rows, checksum)`` of a table, whatever the order of its rows.
 
-    Every row's digest is added up exactly, as a decimal, so that no number of rows overflows.
+    A field is written with its length, so that no two rows read alike; timestamps count in microseconds,
+    arrays, maps and structs as JSON. The two halves of every row's digest are added up exactly, as
+    decimals, so that no number of rows overflows.
     """
-    fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_MARK)) for c in df.columns]
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *fields)), 1, 8), 16, 10).cast("decimal(10,0)")
-    total = F.coalesce(F.sum(digest), F.lit(0)).cast("decimal(38,0)").cast("string")
-    return df.agg(F.count("*").alias("rows"), total.alias("checksum"))
+
+    def field(name: str, kind: str) -> Column:
+        column = F.col(f"`{name}`")
+        if kind == "timestamp":
+            column = F.unix_micros(column)
+        if kind == "timestamp_ntz":
+            column = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+        if kind.startswith(("array", "map", "struct")):
+            column = F.to_json(F.struct(column))
+        text = F.base64(column) if kind == "binary" else column.cast("string")
+        return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("null"))
+
+    digest = F.md5(F.concat(F.lit(""), *[field(c, kind) for c, kind in df.dtypes]))
+
+    def half(start: int) -> Column:
+        part = F.conv(F.substring(digest, start, 16), 16, 10).cast("decimal(20,0)")
+        return F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string")
+
+    return df.agg(F.count("*").alias("rows"), F.concat(half(1), F.lit("-"), half(17)).alias("checksum"))
 
 
 def fingerprint_text(inputs: dict[str, DataFrame]) -> str:

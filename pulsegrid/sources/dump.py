@@ -44,6 +44,10 @@ def dump_rows(lines: DataFrame, table: str, columns: Sequence[str], strip: bool
     checked = F.when(F.startswith(values, F.lit("(")), values).otherwise(
         F.raise_error(F.concat(F.lit(f"no rows in an INSERT INTO {table}: "), F.substring("value", 1, 200)))
     )
+    # What is left without the rows must be what stands between and behind them.
+    left = F.regexp_replace(checked, ROW, "")
+    cut_off = F.concat(F.lit(f"text outside the rows of an INSERT INTO {table}: "), F.substring(left, 1, 200))
+    checked = F.when(left.rlike(r"^[\s,]*+;?\s*+$"), checked).otherwise(F.raise_error(cut_off))
     rows = (
         lines.filter(F.startswith("value", F.lit(head)))
         .select(F.explode(F.regexp_extract_all(checked, F.lit(ROW), F.lit(1))).alias("row"))
