@@ -5,59 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from math import ceil
 
-from pyspark.ml.clustering import LDA, LDAModel
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..settings import spread_rows
-from . import nmf, terms
+from . import lda, nmf, terms
 from .ranking import top_terms
 from .terms import Vocabulary
 
 METHODS = ("lda", "nmf")
-_BATCH = 128  # documents per update
-_PASSES = 5
-_MOST_BATCHES = 32  # per pass; larger corpora take larger batches, not more of them
-
-
-def fit_lda(counts: DataFrame, topics: int, documents: int, seed: int = 0) -> LDAModel:
-    """Online LDA: five passes in small batches, offset 50, decay 0.7."""
-    batches = min(ceil(documents / _BATCH), _MOST_BATCHES)
-    return LDA(
-        k=topics,
-        optimizer="online",
-        learningOffset=50.0,
-        learningDecay=0.7,
-        subsamplingRate=1.0 / batches,
-        maxIter=_PASSES * batches,
-        seed=seed,
-        featuresCol="features",
-    ).fit(counts)
-
-
-def lda_terms(model: LDAModel, vocab: Vocabulary, words_per_topic: int) -> DataFrame:
-    """``(topic, rank, term, weight)``."""
-    listed = model.describeTopics(words_per_topic).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("at", "entry")
-    )
-    names = F.array(*[F.lit(t) for t in vocab.terms])
-    return listed.select(
-        "topic",
-        (F.col("at") + 1).alias("rank"),
-        F.get(names, F.col("entry.termIndices")).alias("term"),
-        F.col("entry.termWeights").alias("weight"),
-    )
-
-
-def nmf_terms(factors: nmf.Factors, vocab: Vocabulary, words_per_topic: int, spark) -> DataFrame:
+
+
+def topic_terms(topic_weights: np.ndarray, vocab: Vocabulary, words_per_topic: int, spark) -> DataFrame:
     """``(topic, rank, term, weight)``; equal weights rank the later term first."""
     rows = [
-        (t, term, i, float(factors.topics[t, i]))
-        for t in range(len(factors.topics))
-        for i, term in enumerate(vocab.terms)
+        (t, term, i, float(weights[i])) for t, weights in enumerate(topic_weights) for i, term in enumerate(vocab.terms)
     ]
     weights = spark.createDataFrame(rows, "topic int, term string, idx int, weight double")
     return top_terms(weights, words_per_topic).select("topic", "rank", "term", "weight")
@@ -69,25 +33,29 @@ def topics(
     number_of_topics: int = 10,
     words_per_topic: int = 10,
     stop_words: Sequence[str] = (),
+    batch_documents: int = lda.BATCH_DOCUMENTS,
+    passes: int = lda.PASSES,
     **limits,
 ) -> DataFrame:
-    """Topics of ``docs(doc, text)`` with a vocabulary of their own: ``(topic, rank, term, weight)``."""
+    """Topics of ``docs(doc, text)`` with a vocabulary of their own: ``(topic, rank, term, weight)``.
+
+    LDA reads every document ``passes`` times, in updates of about ``batch_documents``.
+    """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     if number_of_topics < 1 or words_per_topic < 1:
         raise ValueError("ask for at least one topic and one word")
     vocab = terms.fit_vocabulary(docs, stop_words, **limits)
+    spark = docs.sparkSession
     if method == "lda":
-        counts = spread_rows(terms.count_vectors(docs, vocab, stop_words), vocab.documents).persist(StorageLevel.MEMORY_AND_DISK)
-        if number_of_topics == 1:  # Spark's LDA starts at two; one topic is the term distribution
+        counts = terms.count_vectors(docs, vocab, stop_words)
+        if number_of_topics == 1:  # one topic is the term distribution
             return _single_topic(counts, vocab, words_per_topic)
-        model = fit_lda(counts, number_of_topics, vocab.documents)
-        listed = lda_terms(model, vocab, words_per_topic)
-        counts.unpersist()
-        return listed
+        weights = lda.fit(counts, len(vocab.terms), number_of_topics, vocab.documents, batch_documents, passes)
+        return topic_terms(weights / weights.sum(axis=1, keepdims=True), vocab, words_per_topic, spark)
     vectors = spread_rows(terms.tfidf_vectors(docs, vocab, stop_words), vocab.documents)
     factors = nmf.factorise(vectors, len(vocab.terms), number_of_topics)
-    return nmf_terms(factors, vocab, words_per_topic, docs.sparkSession)
+    return topic_terms(factors.topics, vocab, words_per_topic, spark)
 
 
 def _single_topic(counts: DataFrame, vocab: Vocabulary, words_per_topic: int) -> DataFrame:

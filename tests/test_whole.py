@@ -112,3 +112,44 @@ def test_wide_tables_take_every_item(spark):
 def test_a_scan_keeps_its_tasks(spark):
     plan = spread_rows(spark.range(0, 100, 1, 4), 100)._jdf.queryExecution().toString()
     assert "Coalesce" not in plan and spread_rows(spark.range(100), 100).rdd.getNumPartitions() == 1
+
+
+def test_every_row_can_be_a_first_centre(spark):
+    """A far blob whose rows are among the last of any hash order still gets its own cluster."""
+    from pulsegrid.operators.kmeans import fit_many
+
+    n = 5000
+    order = F.xxhash64("entity", F.lit(3))
+    near = spark.range(n).select(F.col("id").cast("int").alias("entity"))
+    late = [r.entity for r in near.orderBy(order, "entity").collect()][-4:]
+    far = F.when(F.col("entity").isin(late), 1e6).otherwise(0.0)
+    rows = near.select("entity", F.array(far + F.col("entity") % 7, F.lit(0.0)).alias("features")).repartition(6)
+    fitted = fit_many(rows, [2], 3, restarts=2)[2]
+    assert fitted.converged
+    assert sorted(c[0] > 5e5 for c in fitted.centres.tolist()) == [False, True]
+
+
+def test_round_limit_is_reported(spark):
+    from pulsegrid.operators.kmeans import fit_many
+
+    rows = spark.range(200).select("id", F.array((F.col("id") * F.col("id")).cast("double")).alias("features"))
+    with pytest.warns(UserWarning, match="still moved"):
+        assert not fit_many(rows.withColumnRenamed("id", "entity"), [5], 0, restarts=1, max_iter=1)[5].converged
+
+
+def test_lda_reads_every_document_once_per_pass(spark):
+    from pulsegrid.operators import lda, terms
+
+    docs = spark.range(4500).select(
+        F.col("id").alias("doc"), F.concat(F.lit("common w"), F.col("id") % 5, F.lit(" w"), F.col("id") % 5).alias("text")
+    )
+    vocab = terms.fit_vocabulary(docs)
+    seen = {}
+    weights = lda.fit(
+        terms.count_vectors(docs, vocab), len(vocab.terms), 5, 4500, passes=2,
+        on_batch=lambda turn, batch, n: seen.setdefault((turn, batch), n),
+    )
+    batches = -(-4500 // lda.BATCH_DOCUMENTS)
+    assert batches > 32 and len(seen) == 2 * batches
+    assert all(sum(n for (t, _), n in seen.items() if t == turn) == 4500 for turn in (0, 1))
+    assert weights.shape == (5, len(vocab.terms)) and (weights > 0).all()
