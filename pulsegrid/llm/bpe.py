@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-CHUNK, OVERLAP = 16_384, 1_024
+CHUNK, OVERLAP = 32_768, 1_024
 # Boundaries this near to the end of a cut text may be artefacts of the cut.
 MARGIN = 32
 # Bytes of text in one batch that goes back to the JVM.
