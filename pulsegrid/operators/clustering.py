@@ -138,9 +138,10 @@ def cluster(space: FeatureSpace, k: int, *args, **options) -> Clustering:
 
 
 def cluster_by_power_iteration(
-    vectors: DataFrame, k: int, gamma: float = 1.0, seed: int = 0, max_iter: int = 20
+    vectors: DataFrame, k: int, gamma: float = 1.0, max_iter: int = 20
 ) -> DataFrame:
-    """The cheap spectral variant built into Spark, on the affinity pairs of integer entities."""
+    """The cheap spectral variant built into Spark, on the affinity pairs of integer entities. It starts
+    from the degrees, so there is no seed."""
     edges = vector_pair_distances(vectors, "sqeuclidean").select(
         F.col("a").cast("long").alias("src"),
         F.col("b").cast("long").alias("dst"),

@@ -9,6 +9,7 @@ Objective: 1/2 |V - WH|^2 + alpha * ratio * (|W|_1 + |H|_1) + alpha * (1 - ratio
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,6 +85,57 @@ def _round(entries: DataFrame, h: np.ndarray, alpha: float, ratio: float, inner:
     return cross, gram, float(loss)
 
 
+def _gram(entries: DataFrame, width: int) -> np.ndarray:
+    """V'V (terms x terms) in one pass over the documents."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((width, width))
+        for batch in batches:
+            for v in _dense_rows(batch, width):
+                sums += v.T @ v
+        yield pa.RecordBatch.from_pydict({"part": np.arange(width, dtype=np.int32), "sums": sums.tolist()})
+
+    total = Summarizer.sum(array_to_vector(F.col("sums"))).alias("sums")
+    rows = entries.mapInArrow(task, "part int, sums array<double>").groupBy("part").agg(total).collect()
+    out = np.zeros((width, width))
+    for r in rows:  # one row for each term
+        out[r["part"]] = r["sums"].toArray()
+    return out
+
+
+def singular_start(entries: DataFrame, width: int, topics: int, mean: float) -> np.ndarray:
+    """Topics from the leading singular vectors of V: of each, the sign part that carries more of it.
+
+    The share of documents' side in that choice needs V v, of which only norms of the positive and
+    negative part matter; they come from one more pass. Zeros are filled with the mean, so that no place
+    is stuck at 0."""
+    values, axes = np.linalg.eigh(_gram(entries, width))
+    order = np.argsort(values)[::-1][:topics]
+    lengths, right = np.sqrt(np.maximum(values[order], 0.0)), axes[:, order].T
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = np.zeros(len(right)), np.zeros(len(right))
+        for batch in batches:
+            for v in _dense_rows(batch, width):
+                scores = v @ right.T
+                up += (np.maximum(scores, 0.0) ** 2).sum(axis=0)
+                down += (np.minimum(scores, 0.0) ** 2).sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"up": [up.tolist()], "down": [down.tolist()]})
+
+    sums = [Summarizer.sum(array_to_vector(F.col(c))).alias(c) for c in ("up", "down")]
+    found = entries.mapInArrow(task, "up array<double>, down array<double>").agg(*sums).first()
+    h = np.zeros((topics, width))
+    for t in range(len(right)):
+        plus, minus = np.maximum(right[t], 0.0), np.maximum(-right[t], 0.0)
+        up, down = np.sqrt(found["up"].toArray()[t]), np.sqrt(found["down"].toArray()[t])
+        gain_up, gain_down = np.linalg.norm(plus) * up, np.linalg.norm(minus) * down
+        part, gain = (plus, gain_up) if gain_up >= gain_down else (minus, gain_down)
+        norm = np.linalg.norm(part)
+        if norm > 0 and lengths[t] > 0:  # |U part| |V part| sqrt(s): up and down are norms of s * U
+            h[t] = np.sqrt(gain) * part / norm
+    return np.where(h > 0, h, mean)
+
+
 def factorise(
     vectors: DataFrame,
     width: int,
@@ -94,22 +146,35 @@ def factorise(
     max_iter: int = 200,
     tol: float = 1e-4,
     inner: int = 100,
+    start: str = "singular",
 ) -> Factors:
-    """Factorise sparse ``(…, features)`` vectors of length ``width``."""
+    """Factorise sparse ``(…, features)`` vectors of length ``width``.
+
+    ``start`` is "singular" (the leading singular vectors; with fewer terms than topics it is "random")
+    or "random". A fit that has not come to rest after ``max_iter`` rounds warns.
+    """
+    if start not in ("singular", "random"):
+        raise ValueError("start must be singular or random")
     parts = F.unwrap_udt("features")
     entries = vectors.select(parts["indices"].alias("indices"), parts["values"].alias("values")).persist()
     total = entries.agg(
         F.sum(F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).alias("mass"), F.count("*").alias("n")
     ).first()
     mean = (total["mass"] or 0.0) / max(1, total["n"] * width)
-    h = np.abs(np.random.default_rng(seed).standard_normal((topics, width))) * np.sqrt(mean / topics)
+    if start == "singular" and topics < width:
+        h = singular_start(entries, width, topics, mean)
+    else:
+        h = np.abs(np.random.default_rng(seed).standard_normal((topics, width))) * np.sqrt(mean / topics)
     l1, l2 = alpha * ratio, alpha * (1 - ratio)
     history: list[float] = []
     while True:
         cross, gram, loss = _round(entries, h, alpha, ratio, inner)
         history.append(loss)
-        if len(history) >= max_iter or (len(history) > 1 and history[-2] - loss <= tol * history[0]):
+        if len(history) > 1 and history[-2] - loss <= tol * history[0]:
             break  # the last value belongs to the topics returned
+        if len(history) >= max_iter:
+            warnings.warn(f"the factors still moved after {max_iter} rounds", stacklevel=2)
+            break
         h = descend(h.T, gram, cross.T, l1, l2, inner).T
     entries.unpersist()
     return Factors(h, history)

@@ -95,7 +95,7 @@ def _(spark, sf_dir):
 
 @query("power_iteration")
 def _(spark, sf_dir):
-    return clustering.cluster_by_power_iteration(_embeddings(spark, sf_dir), 10, seed=7)
+    return clustering.cluster_by_power_iteration(_embeddings(spark, sf_dir), 10)
 
 
 @query("item_clusters")
@@ -124,7 +124,9 @@ def _documents(spark, sf_dir, lang):
 
 
 def _languages(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "documents").select("lang").distinct().collect()  # a handful
+    rows = b.table(spark, sf_dir, "documents").select("lang").distinct().limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a model for each of more than 1000 languages")
     return {lang: _documents(spark, sf_dir, lang) for lang in sorted(r[0] for r in rows)}
 
 

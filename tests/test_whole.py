@@ -153,3 +153,21 @@ def test_lda_reads_every_document_once_per_pass(spark):
     assert batches > 32 and len(seen) == 2 * batches
     assert all(sum(n for (t, _), n in seen.items() if t == turn) == 4500 for turn in (0, 1))
     assert weights.shape == (5, len(vocab.terms)) and (weights > 0).all()
+
+
+def test_singular_start_is_no_worse_than_a_random_one(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from pulsegrid.operators import nmf
+
+    rng = np.random.default_rng(4)
+    data = rng.random((60, 3)) @ rng.random((3, 25)) * (rng.random((60, 25)) < 0.8)
+    rows = [(i, Vectors.sparse(25, [(j, float(x)) for j, x in enumerate(r) if x])) for i, r in enumerate(data)]
+    vectors = spark.createDataFrame(rows, ["doc", "features"])
+    singular = nmf.factorise(vectors, 25, 3)
+    random = nmf.factorise(vectors, 25, 3, start="random")
+    assert singular.objective[-1] <= random.objective[-1] * 1.01
+    assert (singular.topics >= 0).all()
+    with pytest.warns(UserWarning, match="still moved"):
+        nmf.factorise(vectors, 25, 3, tol=-1.0, max_iter=2)
