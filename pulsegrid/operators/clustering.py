@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..settings import cut_lineage
-from . import pairs, projection
+from . import pairs, projection, sparse_kmeans
 from .kmeans import KMeansFit, fit_many
 from .outliers import mark_retained
+from .sparse_kmeans import SparseFit
 from .spectral import spectral_features
 from .vectors import WIDEST_ROW, as_arrays, as_ml_vectors, dense_rows, vector_pair_distances
 
@@ -38,8 +39,8 @@ class FeatureSpace:
     def from_triples(cls, triples: DataFrame, entities: DataFrame) -> FeatureSpace:
         """From ``(entity, item, rate)``.
 
-        Few entities may have any number of items, and many entities a bounded number of items.
-        When both are many, the plane still comes out (``pca=True``); the full rows do not.
+        Few entities may have any number of items, and many entities a bounded number of items. When
+        both are many there are no full rows; k-means then works on the triples themselves.
         """
         triples = triples.join(entities.select("entity"), "entity", "left_semi")
         if not projection.few_entities(entities):
@@ -59,7 +60,7 @@ class FeatureSpace:
     def features(self, pca: bool) -> DataFrame:
         if not pca:
             if self.full is None:
-                raise ValueError("many entities with many items are clustered on their plane: pca=True")
+                raise ValueError("many entities with many items: k-means, or the plane (pca=True)")
             return self.full
         return self.plane.select("entity", F.array("pc1", "pc2").alias("features"))
 
@@ -70,7 +71,7 @@ class Clustering:
     retained: DataFrame  # (entity, label) of the entities the model was fitted on
     data: DataFrame  # (entity, features) the model was fitted on
     seed: int
-    model: KMeansFit | None = None
+    model: KMeansFit | SparseFit | None = None
 
 
 def check_options(k: int, model: str, z_exclude: float) -> None:
@@ -116,6 +117,8 @@ def cluster_range(
     for k in ks:
         check_options(k, model, z_exclude)
     seed = draw_seed(seed)
+    if not pca and space.full is None and model == "kmeans":
+        return _cluster_triples(space, ks, z_exclude, seed, restarts)
     data, excluded = split_space(space, pca, z_exclude)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     found: dict[int, Clustering] = {}
@@ -132,6 +135,24 @@ def cluster_range(
     return found
 
 
+def _cluster_triples(
+    space: FeatureSpace, ks: Sequence[int], z_exclude: float, seed: int, restarts: int
+) -> dict[int, Clustering]:
+    """Clusterings of a sparse matrix as it is; ``data`` are its triples."""
+    data, excluded = space.triples.select("entity", "item", "rate"), None
+    if z_exclude > 0:
+        marks = mark_retained(space.plane, ["pc1", "pc2"], z_exclude).select("entity", "retained")
+        marked = data.join(marks, "entity")
+        data, excluded = marked.filter("retained").drop("retained"), marked.filter(~F.col("retained")).drop("retained")
+    found = {}
+    for k, fitted in sparse_kmeans.fit_many(data, ks, seed, restarts).items():
+        labels = fitted.assigned
+        if excluded is not None:
+            labels = labels.unionByName(fitted.labels(excluded))
+        found[k] = Clustering(labels, fitted.assigned, data, seed, fitted)
+    return found
+
+
 def cluster(space: FeatureSpace, k: int, *args, **options) -> Clustering:
     """Cluster the entities into ``k`` groups; the options are those of ``cluster_range``."""
     return cluster_range(space, [k], *args, **options)[k]
@@ -152,13 +173,17 @@ def cluster_by_power_iteration(
 
 
 def cluster_items(triples: DataFrame, entities: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Hierarchical clusters of the items: ``(item, label)``.
+    """Clusters of the items: ``(item, label)``.
 
-    An item's vector has one place per entity, so there may be any number of items.
+    With up to ``pairs.BLOCK`` entities an item's vector has one place per entity and the clusters are
+    hierarchical; with more, items are clustered as sparse rows. There may be any number of items.
     """
+    triples = triples.join(entities.select("entity"), "entity", "left_semi")
     if not projection.few_entities(entities):
-        raise ValueError(f"item vectors are built for at most {pairs.BLOCK} entities")
-    vectors = as_ml_vectors(dense_rows(triples.join(entities.select("entity"), "entity", "left_semi"), "item", "entity"))
+        rows = triples.select(F.col("item").alias("entity"), F.col("entity").alias("item"), "rate")
+        labels = sparse_kmeans.fit_many(rows, [k], seed)[k].assigned
+        return labels.select(F.col("entity").alias("item"), "label")
+    vectors = as_ml_vectors(dense_rows(triples, "item", "entity"))
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(vectors)
     return model.transform(vectors).select("item", F.col("label").cast("int").alias("label"))

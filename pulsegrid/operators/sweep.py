@@ -23,10 +23,10 @@ def _stacked_labels(models: dict[int, Clustering]) -> DataFrame:
 
 def _matrix_distances(space: FeatureSpace, metric: str, rows: DataFrame) -> DataFrame:
     """Distances on the full matrix between the rows that were clustered."""
-    kept = checked_small(rows.select("entity"))
+    kept = checked_small(rows.select("entity").distinct())
     triples = space.triples
     if metric == "seuclidean":
-        triples = pairs.scale_by_deviation(triples.join(kept, "entity", "left_semi"), rows.count())
+        triples = pairs.scale_by_deviation(triples.join(kept, "entity", "left_semi"), kept.count())
     stats = pairs.pair_stats(triples, space.entities, DISTANCES[metric][0])
     table = stats.select("a", "b", distance_column(metric).alias("distance"))
     for side in ("a", "b"):
@@ -64,7 +64,8 @@ def sweep(
         scores = data.sparkSession.createDataFrame(rows, "k int, value double")
     elif metric == "calinski_harabasz":
         # distances, and so both sums of squares, are those of the full matrix
-        scores = evaluation.calinski_harabasz(to_triples(data), _stacked_labels(models))
+        cells = data if space.full is None and not pca else to_triples(data)
+        scores = evaluation.calinski_harabasz(cells, _stacked_labels(models))
     elif pca or space.triples is None:
         scores = evaluation.silhouette_vectors(data, _stacked_labels(models), distance)
     else:

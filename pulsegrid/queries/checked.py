@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import clustering, clusters, evaluation
+from ..operators import clustering, clusters, evaluation, sparse_kmeans
 from ..operators.sweep import sweep
 from ..operators.terms import fit_vocabulary
 from ..operators.topics import topics_per_cluster
@@ -54,6 +54,24 @@ def _(spark, sf_dir):
     return _label_facts(result.data, result.labels, result.model.cost)
 
 
+@query(
+    "kmeans_sparse_checked",
+    f"""WITH {RATES_SQL} SELECT count(DISTINCT entity) AS rows, 5::BIGINT AS labels, true AS converged,
+    true AS cost_is_within FROM rates""",
+)
+def _(spark, sf_dir):
+    """The route for many entities with many items, on the sparse matrix as it is."""
+    triples = b.rates(spark, sf_dir)
+    fitted = sparse_kmeans.fit_many(triples, [5], 7, restarts=3)[5]
+    within = evaluation.within_sum_of_squares(triples, fitted.assigned).first()["inertia"]
+    return fitted.assigned.agg(
+        F.count_distinct("entity").alias("rows"),
+        F.count_distinct("label").alias("labels"),
+        F.lit(fitted.converged).alias("converged"),
+        F.lit(abs(within - fitted.cost) <= 1e-6 * within).alias("cost_is_within"),
+    )
+
+
 @query(
     "kmeans_vectors_checked",
     """SELECT count(DISTINCT vec_id) AS rows, 10::BIGINT AS labels, 0::BIGINT AS misplaced, true AS cost_is_within
