@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settings import cut_lineage
 from .common import BLANKS, whole_text
 
 # A chunk has at least CHUNK_MIN characters and ends behind the first following cut mark: a blank that
@@ -74,7 +75,8 @@ def chunk_identifiers(occurrences: DataFrame) -> DataFrame:
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ordered identifier lists: id, text_sha256, recipe, copies (rows that agree in id and text)."""
-    occurrences = chunk_occurrences(docs, id_col, text_col)
+    # Written once: three uses would cut and digest every text three times.
+    occurrences = cut_lineage(chunk_occurrences(docs, id_col, text_col))
     named = chunk_identifiers(occurrences).select(
         F.col("short").alias("s"), F.col("full").alias("f"), "chunk_id"
     )
