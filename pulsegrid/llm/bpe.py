@@ -15,19 +15,23 @@ import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import whole_text
+from .common import released, whole_text
 
 CHUNK, OVERLAP = 32_768, 1_024
 # Boundaries this near to the end of a cut text may be artefacts of the cut.
 MARGIN = 32
 # Bytes of text in one batch that goes back to the JVM.
 BATCH_BYTES = 4 << 20
+# Texts that are decoded before they go back to the JVM.
+ROWS_AT_ONCE = 256
 
 
 @lru_cache(maxsize=4)
@@ -94,8 +98,10 @@ def encode(
     text_col: str = "text",
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    decoded: bool = False,
 ) -> DataFrame:
-    """Encode every whole text: id, ids (binary, little-endian unsigned 32-bit), one row per row.
+    """Encode every whole text: id, ids (binary, little-endian unsigned 32-bit), one row per row; with
+    ``decoded`` also the bytes that the ids decode to (see ``decode``), made in the same Python process.
 
     ``vocabulary`` is the path of a rank file, ``pattern`` divides texts before merging. The file is
     read once and sent to the tasks (a rank file has about a megabyte). No special tokens. Null texts
@@ -109,12 +115,19 @@ def encode(
     length = F.char_length("text")
 
     def whole(batches):
-        tokenizer = encoding(ranks.value, pattern)
-        schema = pa.schema([("id", batches_id_type), ("ids", pa.binary())])
-        yield from _batches(((i, ids_of(tokenizer, text)) for i, text in _rows(batches)), schema)
+        tokenizer, table = encoding(ranks.value, pattern), token_bytes(ranks.value)
+        schema = pa.schema([("id", arrow_id), ("ids", pa.binary())] + [("decoded", pa.binary())] * decoded)
+
+        def rows():
+            for i, text in _rows(batches):
+                ids = ids_of(tokenizer, text)
+                yield (i, ids, bytes_of(table, ids)) if decoded else (i, ids)
+
+        yield from _batches(rows(), schema)
 
-    batches_id_type = _arrow_type(docs, id_col)
-    short = texts.where(length <= chunk).mapInArrow(whole, f"id {id_type}, ids binary")
+    arrow_id = _arrow_type(docs, id_col)
+    columns = f"id {id_type}, ids binary" + ", decoded binary" * decoded
+    short = texts.where(length <= chunk).mapInArrow(released(whole), columns)
 
     # A key tells rows apart; rows with the same key have the same text, so they share their pieces.
     long = texts.where(length > chunk).withColumn("key", F.sha2("text", 256))
@@ -130,7 +143,7 @@ def encode(
 
         yield from _batches(parts(), schema)
 
-    parts = long.select("key", "text").mapInArrow(cut, "key string, k int, last boolean, part string")
+    parts = long.select("key", "text").mapInArrow(released(cut), "key string, k int, last boolean, part string")
     # Equal texts are encoded once: the same part arrives at the same task, in any number of copies.
     parts = parts.repartition("key", "k").dropDuplicates(["key", "k"])
 
@@ -146,7 +159,7 @@ def encode(
 
         yield from _batches(found(), schema)
 
-    ends = parts.mapInArrow(pretokenise, "key string, k int, heads array<int>, tails array<int>")
+    ends = parts.mapInArrow(released(pretokenise), "key string, k int, heads array<int>, tails array<int>")
     # A text's chunks in order: narrow rows, one for each CHUNK characters of it.
     in_order = Window.partitionBy("key").orderBy("k")
     of_text = Window.partitionBy("key")
@@ -173,7 +186,7 @@ def encode(
         yield from _batches(encoded(), schema)
 
     stitched = met.where("not unstitched").select("key", "k", "part", "begin", "end")
-    stitched = stitched.mapInArrow(pieces, "key string, k int, ids binary")
+    stitched = stitched.mapInArrow(released(pieces), "key string, k int, ids binary")
     stitched = stitched.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("list"))
     stitched = stitched.select(
         "key", F.unhex(F.array_join(F.transform("list", lambda x: F.hex(x["ids"])), "")).alias("ids")
@@ -188,10 +201,11 @@ def encode(
         F.array_sort(F.collect_list(F.struct("k", F.substring("part", 1, chunk).alias("part")))).alias("list")
     )
     joined = joined.select("key", F.array_join(F.col("list.part"), "").alias("text"))
-    again = joined.mapInArrow(keyed, "key string, ids binary")
+    again = joined.mapInArrow(released(keyed), "key string, ids binary")
 
     done = stitched.unionByName(again)
-    return short.unionByName(long.select("id", "key").join(done, "key").select("id", "ids"))
+    done = long.select("id", "key").join(done, "key").select("id", "ids")
+    return short.unionByName(decode(done, vocabulary) if decoded else done)
 
 
 def _arrow_type(docs: DataFrame, column: str) -> pa.DataType:
@@ -200,25 +214,37 @@ def _arrow_type(docs: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(docs.schema[column].dataType)
 
 
-def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Append ``decoded`` (binary): the raw bytes of the column ``ids``, one after the other."""
+@lru_cache(maxsize=4)
+def token_bytes(ranks: bytes) -> dict[int, bytes]:
+    """The bytes of every id of a rank file's content."""
+    return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, ranks.splitlines())}
+
+
+def bytes_of(table: dict[int, bytes], ids) -> bytes:
+    """The raw bytes of little-endian 32-bit ids, one after the other."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """Append ``decoded`` (binary): the raw bytes of the ids in the column ``ids``, one after the other."""
     with open(vocabulary, "rb") as file:
         ranks = encoded.sparkSession.sparkContext.broadcast(file.read())
+    at = encoded.columns.index("ids")
 
-    @F.pandas_udf("binary")
-    def to_bytes(ids):
-        import numpy as np
-
-        tokenizer = encoding(ranks.value, pattern)
-        return ids.map(lambda x: tokenizer.decode_bytes(np.frombuffer(x, "<u4").tolist()))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(ranks.value)
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(low, ROWS_AT_ONCE)
+                decoded = pa.array([bytes_of(table, x.as_buffer()) for x in part.column(at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*batch.schema.names, "decoded"])
 
-    return encoded.withColumn("decoded", to_bytes("ids"))
+    return encoded.mapInArrow(released(run), StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def encoded_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, decoded from the ids."""
-    both = decode(encode(docs, vocabulary, pattern), vocabulary, pattern)
-    return both.select(
+    return encode(docs, vocabulary, pattern, decoded=True).select(
         F.col("id").alias("doc_id"),
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

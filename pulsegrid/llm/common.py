@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,18 @@ def word_count(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate a value once and hand it to an expression that uses it several times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def released(run):
+    """A function for mapInArrow that gives free memory back to the machine when its task is done: a
+    Python worker lives on for later tasks, and what it keeps would be missing there."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped

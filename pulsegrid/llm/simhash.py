@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..settings import cut_lineage
-from .common import whole_text
+from .common import released, whole_text
 
 SHINGLE = 3
 RADIUS = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
             )
 
     rows = docs.select(*keep, whole_text(text_col).alias("text_of"))
-    return rows.mapInArrow(run, StructType([*schema.fields, StructField("fp", LongType())]))
+    return rows.mapInArrow(released(run), StructType([*schema.fields, StructField("fp", LongType())]))
 
 
 class BKTree:
@@ -205,7 +205,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE)
             yield out(found)
 
     dealt = roles.repartition("shard", "t", "u").sortWithinPartitions("shard", "t", "u")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import released, whole_text
 
 # One place in 2 ** CUT_BITS may be cut, none that follows another such place in less than GAP bytes; a
 # stretch without a cut is cut every LONGEST bytes.
@@ -89,7 +89,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         names=["id", "digest", "place"],
                     )
 
-    return rows.mapInArrow(run, "id long, digest long, place long")
+    return rows.mapInArrow(released(run), "id long, digest long, place long")
 
 
 def repeated_passages(

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _arrow_type
-from .common import whole_text
+from .bpe import ROWS_AT_ONCE, _arrow_type
+from .common import released, whole_text
 
 # Labelled texts that a fit uses at most, and characters of one of them. Scoring has no such bounds.
 SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 20_000
@@ -316,7 +316,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             )
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, score double")
+    return rows.mapInArrow(released(run), f"id {id_type}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -339,10 +339,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted to be toxic, with all their columns."""
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scored(texts):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        return texts.map(own.score)
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(low, ROWS_AT_ONCE)
+                yield part.filter(pa.array([own.score(t.as_py() or "") < 0.5 for t in part.column(at)], pa.bool_()))
 
-    return docs.where(scored(whole_text()) < 0.5)
+    return docs.mapInArrow(released(run), docs.schema)

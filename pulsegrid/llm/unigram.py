@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _arrow_type
-from .common import whole_text
+from .common import released, whole_text
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -128,4 +128,4 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             )
 
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("text_of"))
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long")
+    return rows.mapInArrow(released(run), f"`{id_col}` {id_type}, n_tokens long")
