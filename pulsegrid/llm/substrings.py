@@ -98,9 +98,11 @@ def repeated_passages(
     """id, start, end, n_words, first_ids, kept: passages of at least min_words that several documents have.
 
     start and end are byte places in the UTF-8 text, first_ids the smallest ids that have the passage's
-    chunks; kept says that the document is the first holder of all of it. Documents without repeats have
-    no row. Null and empty texts have no passages; rows without an id take no part; rows with one id are
-    one document, so a repeated row is no repeat. Other columns are not read.
+    chunks. A passage that earlier documents have and one that the document is the first to have are
+    rows of their own where they meet (their chunks overlap there): not kept and kept. Fewer than
+    min_words of an earlier document between chunks of one's own count as one's own. Documents without
+    repeats have no row. Null and empty texts have no passages; rows without an id take no part; rows
+    with one id are one document, so a repeated row is no repeat. Other columns are not read.
     """
     chunks = chunk_table(docs, id_col, text_col)
     shared = chunks.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
@@ -121,21 +123,33 @@ def repeated_passages(
     # One document's chunks in order.
     order = Window.partitionBy("id").orderBy("start", "end")
     begins = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    found = found.withColumn("passage", F.sum(begins.cast("int")).over(order))
-    passages = found.groupBy("id", "passage").agg(
+    own = F.col("first_id") == F.col("id")
+    turns = begins | (own != F.lag(own).over(order))
+    found = found.select(
+        "*", own.alias("own"), F.sum(begins.cast("int")).over(order).alias("run"), F.sum(turns.cast("int")).over(order).alias("part")
+    )
+    parts = found.groupBy("id", "run", "part", "own").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("first_words").alias("steps"),
         F.max_by(F.col("words") - F.col("first_words"), "start").alias("rest"),
-        F.array_sort(F.collect_set("first_id")).alias("first_ids"),
+        F.collect_set("first_id").alias("first_ids"),
+    )
+    # What earlier documents have stands alone if it is long enough; all else of a run between is one passage.
+    parts = parts.withColumn("kept", F.col("own") | (F.col("steps") + F.col("rest") < min_words))
+    by_part = Window.partitionBy("id").orderBy("part")
+    goes_on = F.col("kept") & F.lag("kept").over(by_part) & (F.col("run") == F.lag("run").over(by_part))
+    begins = F.coalesce(~goes_on, F.lit(True))
+    parts = parts.withColumn("passage", F.sum(begins.cast("int")).over(by_part))
+    passages = parts.groupBy("id", "passage").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        (F.sum("steps") + F.max_by("rest", "part")).alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("first_ids")))).alias("first_ids"),
+        F.first("kept").alias("kept"),
     )
-    return passages.withColumn("n_words", F.col("steps") + F.col("rest")).where(F.col("n_words") >= min_words).select(
-        F.col("id").alias(id_col),
-        "start",
-        "end",
-        "n_words",
-        "first_ids",
-        ((F.size("first_ids") == 1) & (F.get("first_ids", F.lit(0)) == F.col("id"))).alias("kept"),
+    return passages.where(F.col("n_words") >= min_words).select(
+        F.col("id").alias(id_col), "start", "end", "n_words", "first_ids", "kept"
     )
 
 

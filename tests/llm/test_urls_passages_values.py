@@ -226,3 +226,25 @@ def test_equal_values_stay_linked_across_documents(spark):
     assert out[3] == "clean" and out[4] is None and card not in out[5]
     assert pii.pseudonymise(docs).columns == docs.columns
     assert pii.personal_values(docs.limit(0)).count() == 0
+
+
+def test_first_holders_keep_what_stands_beside_a_copied_passage(spark):
+    p, q = prose(500, 60), prose(501, 60)
+    rows = [
+        (1, prose(510, 40) + " " + p + " " + prose(511, 40)),
+        (2, prose(512, 40) + " " + p + " " + q + " " + prose(513, 40)),
+        (3, prose(514, 40) + " " + p + " " + q + " " + prose(515, 40)),
+    ]
+    copy = prose(516, 80) + " " + p + " " + prose(517, 80)
+    rows += [(4, copy), (5, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {}
+    for r in substrings.repeated_passages(docs).collect():
+        kept.setdefault(r.doc_id, []).append(r.kept)
+    assert {i: sorted(k) for i, k in kept.items()} == {1: [True], 2: [False, True], 3: [False], 4: [False, True, True], 5: [False]}
+    after = {r.doc_id: r.text for r in substrings.drop_repeats(docs).collect()}
+    assert after[1] == rows[0][1]
+    # What 2 and 3 alone have stays in 2, and what 4 and 5 alone have in 4.
+    assert q[-200:] in after[2] and q[40:-40] not in after[3]
+    assert p[40:-40] in after[1] and not any(p[40:-40] in after[i] for i in (2, 3, 4, 5))
+    assert copy[:300] in after[4] and copy[-300:] in after[4] and len(after[5]) < 200
