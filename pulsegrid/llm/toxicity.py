@@ -9,8 +9,8 @@ A text is as toxic as its most toxic passage, so one insult weighs as much in a
 one. Labels are for whole texts: training goes by turns between finding each text's highest passage
 and fitting to those passages, and to others of the texts without the label.
 
-Only the fit runs on the driver, on a bounded sample of the labelled rows (SAMPLE_DOCS). Scoring reads
-every whole text in the tasks: because the model is linear, a subword's embedding folds into one number,
+Only the fit runs on the driver, on whole texts of a bounded sample of the labelled rows (SAMPLE_DOCS and
+SAMPLE_CHARS, which bounds the number of rows). Scoring reads every whole text in the tasks: because the model is linear, a subword's embedding folds into one number,
 so what is sent to the tasks is one number for each bucket.
 """
 
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .bpe import ROWS_AT_ONCE, _arrow_type
 from .common import released, whole_text
 
-# Labelled texts that a fit uses at most, and characters of one of them. Scoring has no such bounds.
-SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 20_000
+# Labelled texts that a fit uses at most, and characters of all of them together, from which on no further
+# text is drawn; the drawn ones are whole. Scoring has no such bounds.
+SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 60_000_000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 SHORTEST, LONGEST = 3, 6
@@ -281,24 +282,35 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most ``sample_docs`` labelled documents outside the held-out ones.
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS
+) -> Model:
+    """Fit on whole texts of at most ``sample_docs`` labelled documents outside the held-out ones.
 
-    The sample is drawn by a hash of the id, from all labelled rows; SAMPLE_CHARS of a text are used. A
-    document with contradicting labels counts as its highest one. Rows without an id or label are left
-    out of the fit.
+    The sample is drawn in the order of a hash of the id, from all labelled documents, until it has
+    ``sample_chars`` characters. A document with contradicting labels counts as its highest one, one with
+    several texts as that of the lowest hash. Rows without an id or label are left out of the fit.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = (
-        docs.select(F.col("doc_id").alias("id"), F.substring(whole_text(), 1, SAMPLE_CHARS).alias("text"))
-        .join(F.broadcast(drawn), F.col("id") == F.col("doc_id"))
-        .select("id", "text", "label")
-        .limit(2 * sample_docs)
-        .collect()
+    texts = docs.select(F.col("doc_id").alias("id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("tie"))
+    # One narrow row for each drawn document that is there; the texts of those that are used follow.
+    sizes = texts.join(F.broadcast(drawn), F.col("id") == F.col("doc_id")).groupBy("id", "label").agg(
+        F.min(F.struct("tie", F.char_length("text").alias("size"))).alias("of")
     )
-    sample.sort(key=lambda r: (r["id"], r["text"]))
+    sizes = sizes.select("id", "label", "of.tie", "of.size", F.xxhash64("id").alias("turn")).collect()
+    used, total = [], 0
+    for row in sorted(sizes, key=lambda r: (r["turn"], r["id"])):
+        if total >= sample_chars:
+            break
+        used.append((row["id"], row["label"], row["tie"]))
+        total += row["size"]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(used, f"of_id {id_type}, label int, of_tie long")
+    met = (F.col("id") == F.col("of_id")) & (F.col("tie") == F.col("of_tie"))
+    sample = texts.join(F.broadcast(chosen), met).groupBy("id", "label").agg(F.min("text").alias("text")).collect()
+    sample.sort(key=lambda r: r["id"])
     return fit([r["text"] for r in sample], [r["label"] for r in sample])
 
 

@@ -165,3 +165,17 @@ def test_toxicity_of_odd_tables(spark):
     odd = spark.createDataFrame([(1, 1), (1, None), (None, 1), (2, 0), (2, 1)], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, odd).count() == 4
     assert toxicity.toxicity(docs.limit(0), odd).count() == 0
+
+
+def test_the_fit_reads_whole_texts_of_every_drawn_document(spark, monkeypatch):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text {i} " + "clean " * 5000 + "insult") for i in ids]
+    rows += [rows[0]] * 200  # repeated rows leave no other document out
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, given: seen.append((texts, given)))
+    toxicity.train(docs, labels)
+    assert seen[0] == ([t for _, t in rows[: len(ids)]], [i % 2 for i in ids])
+    toxicity.train(docs, labels, sample_docs=len(ids), sample_chars=100_000)
+    assert len(seen[1][0]) == 4 and set(seen[1][0]) <= set(seen[0][0])
