@@ -11,6 +11,7 @@ Everything here is DataFrame functions and Spark's own FP-growth.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,6 @@ from .common import let
 BAD = "label=bad"
 # A rule needs this many labelled URLs, and this share of all of them, and this share of bad ones.
 MIN_COUNT, MIN_SUPPORT, MIN_CONFIDENCE = 20, 0.001, 0.8
-# Tokens of one labelled URL that are used for mining at most (host first, then path, then query).
-MINED_TOKENS = 16
 # Stated rules are one expression; a longer list belongs into a table.
 MAX_STATED = 500
 
@@ -69,14 +68,15 @@ def stated_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return chosen
 
 
-def tokens(url: Column) -> Column:
+def tokens(url: Column, deepest: int | None = None) -> Column:
     """Distinct tokens: every suffix of the host, path segments and query keys, digits as 0.
 
-    Suffixes of a host with more than 12 labels start at its 12th label from the right.
+    With ``deepest``, suffixes of up to so many labels: for a caller that knows that longer ones are of no
+    use, because all suffixes of a host together grow with the square of its length.
     """
 
     def suffixes(labels: Column) -> Column:
-        count = F.least(F.size(labels), F.lit(12))
+        count = F.size(labels) if deepest is None else F.least(F.size(labels), F.lit(deepest))
         return F.transform(
             F.sequence(F.lit(1), count),
             lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")),
@@ -107,21 +107,46 @@ def mine(
     """Rules tokens -> bad from (url, bad): rule_tokens, rare_token, confidence, support, rule_text.
 
     A null url has no tokens and makes no rule; a null label counts as not bad. With too few labelled
-    URLs for min_count there are no rules.
+    URLs for min_count there are no rules. Every token that bad URLs have often enough is mined, wherever
+    it stands in a URL; tokens of the very same URLs are mined as one and put back in afterwards.
     """
-    marked = labelled.select(F.slice(tokens(F.col("url")), 1, MINED_TOKENS).alias("t"), F.col("bad"))
-    marked = marked.select(
-        F.concat("t", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
-    ).where(F.size("items") > 0)
-    total = marked.count()
     schema = "rule_tokens array<string>, rare_token string, confidence double, support double, rule_text string"
+    none = labelled.sparkSession.createDataFrame([], schema)
+    is_bad = F.coalesce(F.col("bad"), F.lit(False))
+    depth = F.size(F.split(host_of(F.col("url")), r"\."))
+    depths = labelled.select(depth.alias("depth"), is_bad.alias("bad"), (is_bad | (F.size(tokens(F.col("url"), 2)) > 0)).alias("counts"))
+    depths = depths.groupBy("depth").agg(F.count_if("counts").alias("n"), F.count_if("bad").alias("n_bad")).collect()
+    total = sum(r["n"] for r in depths)
     if total < min_count:
-        return labelled.sparkSession.createDataFrame([], schema)
+        return none
     support = max(min_support, min_count / total)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(marked)
-    # What FP-growth found is mined anew at each use, so both results are written once.
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
+    need = ceil(support * total)
+    # A suffix of more labels than this is in fewer bad URLs than a rule needs.
+    deepest = max((d["depth"] for d in depths if sum(r["n_bad"] for r in depths if r["depth"] >= d["depth"]) >= need), default=0)
+    if not deepest:
+        return none
+    marked = labelled.select(tokens(F.col("url"), max(2, deepest)).alias("t"), is_bad.alias("bad"))
+    marked = marked.where(F.col("bad") | (F.size("t") > 0))
+    # Which URLs have a token: their number and two sums of hashes.
+    counted = marked.select("bad", F.xxhash64("t").alias("urls"), F.explode("t").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("freq"),
+        F.count_if("bad").alias("n_bad"),
+        F.sum(F.shiftright("urls", 33)).alias("high"),
+        F.sum(F.col("urls").bitwiseAND(F.lit((1 << 31) - 1))).alias("low"),
+    )
+    often = counted.where(F.col("n_bad") >= need).groupBy("freq", "n_bad", "high", "low").agg(
+        F.min("token").alias("token"), F.collect_set("token").alias("same")
+    )
     often = cut_lineage(often)
+    # Each is in a share of the URLs, so they are not many.
+    mined = [r["token"] for r in often.select("token").collect()]
+    if not mined:
+        return none
+    items = F.filter("t", lambda t: t.isin(mined))
+    items = F.concat(items, F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
+    marked = marked.select(items.alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(marked)
+    # What FP-growth found is mined anew at each use, so it is written once.
     found = model.associationRules.where(F.get("consequent", F.lit(0)) == BAD)
     # Support of a rule's tokens alone, so that min_count holds for good and bad URLs together.
     found = found.select(
@@ -136,7 +161,18 @@ def mine(
     )
     implied = parts.join(found, F.col("shorter") == F.col("rule_tokens")).where("confidence >= sure").select("of")
     rules = found.join(implied, F.col("rule_tokens") == F.col("of"), "left_anti")
-    listed = rules.select("*", F.explode("rule_tokens").alias("token")).join(often, "token")
+    # Every way to put in one token for each that was mined for several.
+    listed = rules.select("*", F.explode("rule_tokens").alias("token")).join(often.select("token", "same"), "token")
+    listed = listed.groupBy("rule_tokens", "confidence", "support").agg(F.collect_list("same").alias("choices"))
+    ways = F.aggregate(
+        "choices",
+        F.array(F.array().cast("array<string>")),
+        lambda ways, same: F.flatten(F.transform(ways, lambda way: F.transform(same, lambda t: F.concat(way, F.array(t))))),
+    )
+    rules = listed.select(F.explode(ways).alias("way"), "confidence", "support")
+    rules = rules.select(F.array_sort("way").alias("rule_tokens"), "confidence", "support")
+    single = often.select(F.explode("same").alias("token"), "freq")
+    listed = rules.select("*", F.explode("rule_tokens").alias("token")).join(single, "token")
     return listed.groupBy("rule_tokens", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("rare_token")).select(
         "rule_tokens", "rare_token", "confidence", "support", F.array_join("rule_tokens", " ").alias("rule_text")
     )
@@ -145,7 +181,11 @@ def mine(
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url, mined_rule, confidence: the surest rule that each url (distinct) fits; others have no row."""
     index = checked_small(rules.select("rule_tokens", "rare_token", "confidence", "rule_text"))
-    own = urls.select("url").where(F.col("url").isNotNull()).distinct().select("url", tokens(F.col("url")).alias("own"))
+    # No rule has a longer suffix of a host than this.
+    hosts = index.select(F.explode("rule_tokens").alias("token")).where(F.col("token").startswith("host:"))
+    deepest = hosts.agg(F.max(F.size(F.split("token", r"\.")))).first()[0]
+    own = urls.select("url").where(F.col("url").isNotNull()).distinct()
+    own = own.select("url", tokens(F.col("url"), deepest or 1).alias("own"))
     met = own.select("url", "own", F.explode("own").alias("token")).join(index, F.col("token") == F.col("rare_token"))
     met = met.where(F.size(F.array_except("rule_tokens", "own")) == 0)
     best = F.max(F.struct("confidence", F.col("rule_text").alias("mined_rule")))

@@ -248,3 +248,15 @@ def test_first_holders_keep_what_stands_beside_a_copied_passage(spark):
     assert q[-200:] in after[2] and q[40:-40] not in after[3]
     assert p[40:-40] in after[1] and not any(p[40:-40] in after[i] for i in (2, 3, 4, 5))
     assert copy[:300] in after[4] and copy[-300:] in after[4] and len(after[5]) < 200
+
+
+def test_tokens_far_back_in_a_url_are_mined(spark):
+    host = ".".join(f"{c}x" for c in "abcdefghijklmno")
+    path = "/".join(c * 3 for c in "pqrstuvwxyzabcdefghijkl")
+    rows = [(f"http://{'deep' if i % 4 == 1 else 'other'}.{host}/{path}/?{'evil' if i % 4 == 0 else 'fine'}={i}", i % 4 < 2) for i in range(200)]
+    mined = url_filters.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    rules = {tuple(r.rule_tokens): (r.confidence, r.rare_token) for r in mined.collect()}
+    assert rules == {(t,): (1.0, t) for t in ("key:evil", f"host:deep.{host}")}
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    verdicts = {r.page_id: r.verdict for r in url_filters.judge(pages, [], mined).collect()}
+    assert verdicts == {i: "block" if bad else "allow" for i, (_, bad) in enumerate(rows)}
