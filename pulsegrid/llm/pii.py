@@ -234,16 +234,38 @@ _COMPILED = [(kind, re.compile(pattern + _END), replace) for kind, pattern, repl
 _STARTS = re.compile(_EDGE + r"(?=[+(\d]|[A-Z]{2}\d{2}|[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@)")
 
 
+_DECIMALS = [chr(c) for c in range(128, 0x110000) if chr(c).isdecimal()]
+_AS_ASCII = str.maketrans({c: str(int(c)) for c in _DECIMALS})
+_OTHER_DECIMAL = re.compile(r"(?![0-9])\d")
+
+
+def _in_script(found: str, new: str) -> str:
+    """A pseudonym with its digits in the scripts of the digits that it replaces, number by number."""
+    numbers = iter(re.findall(r"\d+", found))
+
+    def written(number: re.Match) -> str:
+        old = next(numbers)
+        zeros = [ord(c) - int(c) for c in old]
+        return "".join(chr(zeros[min(k, len(old) - 1)] + int(c)) for k, c in enumerate(number.group()))
+
+    return re.sub("[0-9]+", written, new)
+
+
 def findings(text: str, key: bytes, back: bool = False) -> Iterator[tuple[str, int, int, str]]:
-    """kind, start, end, pseudonym of every personal value, in order and without overlaps."""
-    at = 0
-    while start := _STARTS.search(text, at):
+    """kind, start, end, pseudonym of every personal value, in order and without overlaps.
+
+    Decimal digits of any script count; a pseudonym is written in those of the value.
+    """
+    other = not text.isascii() and _OTHER_DECIMAL.search(text)
+    read, at = text.translate(_AS_ASCII) if other else text, 0
+    while start := _STARTS.search(read, at):
         at = start.start() + 1
         for kind, pattern, replace in _COMPILED:
-            match = pattern.match(text, start.start())
+            match = pattern.match(read, start.start())
             new = replace(match.group(), key, back) if match else None
             if new is not None:
-                yield kind, match.start(), match.end(), new
+                found = text[match.start() : match.end()]
+                yield kind, match.start(), match.end(), _in_script(found, new) if other else new
                 at = match.end()
                 break
 
@@ -275,8 +297,9 @@ def personal_values(
         yield from _batches(found, schema)
 
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("text_of"))
-    # Nothing personal is without a digit or an @.
-    rows = rows.where(F.col("text_of").rlike("[0-9@]"))
+    # Nothing personal is without a digit of some script or an @. What Java's Unicode version does not know
+    # (Cn) may be a digit to Python.
+    rows = rows.where(F.col("text_of").rlike(r"[@\p{Nd}\p{Cn}]"))
     return rows.mapInArrow(released(run), f"`{id_col}` {id_type}, kind string, start int, end int, pseudonym string")
 
 

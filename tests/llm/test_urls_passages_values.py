@@ -260,3 +260,18 @@ def test_tokens_far_back_in_a_url_are_mined(spark):
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
     verdicts = {r.page_id: r.verdict for r in url_filters.judge(pages, [], mined).collect()}
     assert verdicts == {i: "block" if bad else "allow" for i, (_, bad) in enumerate(rows)}
+
+
+def test_digits_of_other_scripts_count_and_keep_their_script(spark):
+    rows = []
+    for zero in (0x660, 0x966, 0xFF10, 0x1D7CE, 0x1E4F0):
+        digits = {ord(str(d)): chr(zero + d) for d in range(10)}
+        for value in ("4539148803436467", "212-555-0187", "123-45-6789", "2024-02-29", "+1 (212) 555-0187"):
+            text = f"See {value} there"
+            other = text.translate(digits)
+            new = pii.pseudonymised(other, b"key")
+            assert new == pii.pseudonymised(text, b"key").translate(digits) != other
+            assert pii.pseudonymised(new, b"key", back=True) == other
+            rows.append((len(rows), other))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in pii.personal_values(docs).collect()) == [i for i, _ in rows]
