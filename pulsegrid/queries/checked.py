@@ -20,7 +20,7 @@ from ..settings import checked_small, ensure_checkpoint_dir
 from ..sources import catalog, files
 from . import binding as b
 from .binding import RATES_SQL
-from .models import _documents, _embeddings, _space
+from .models import _embeddings, _languages, _space
 from .registry import query
 from .text import STOP_WORDS
 
@@ -150,8 +150,7 @@ _TOPICS_SQL = """SELECT lang AS cluster_id, 10::BIGINT AS topics, 100::BIGINT AS
 
 
 def _topic_facts(spark, sf_dir, method):
-    languages = sorted(r[0] for r in b.table(spark, sf_dir, "documents").select("lang").distinct().limit(1000).collect())
-    corpora = {lang: _documents(spark, sf_dir, lang) for lang in languages}
+    corpora = _languages(spark, sf_dir)
     listed = topics_per_cluster(corpora, method=method, stop_words=STOP_WORDS)
     known = [(lang, term) for lang, docs in corpora.items() for term in fit_vocabulary(docs, STOP_WORDS).terms]
     known = spark.createDataFrame(known, "of string, word string")

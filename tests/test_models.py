@@ -6,6 +6,7 @@ from pulsegrid.operators import clustering, evaluation, projection, spectral, su
 from pulsegrid.operators.kmeans import fit_many
 from pulsegrid.operators.sweep import sweep
 from pulsegrid.operators.vectors import nearest_centroid
+from pulsegrid.queries import checked
 
 from .test_pairs import as_triples, as_vectors, brute_silhouette, sparse
 
@@ -215,3 +216,11 @@ def test_subspace_iteration_matches_eigenvectors(spark):
     start = subspace.random_start(spark.range(7).select(F.col("id").cast("int").alias("entity")), 3, 1)
     _, values = subspace.leading_eigenvectors(apply, start, 3, 2)
     assert values[:2] == pytest.approx(np.linalg.eigvalsh(matrix)[::-1][:2], rel=1e-6)
+
+
+def test_more_languages_than_models_raise(spark, monkeypatch):
+    docs = spark.range(1001).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"), F.lit("").alias("text"))
+    monkeypatch.setattr(checked.b, "table", lambda *_: docs)
+    monkeypatch.setattr(checked, "topics_per_cluster", lambda corpora, **_: pytest.fail(f"{len(corpora)} languages"))
+    with pytest.raises(ValueError, match="1000 languages"):
+        checked._topic_facts(spark, "", "lda")
