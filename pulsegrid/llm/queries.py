@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, recipes, simhash, sketch, substrings, toxicity, unigram, url_filters
+from . import bpe, chunk_bpe, mixing, pii, recipes, simhash, sketch, substrings, toxicity, unigram, url_filters
 from .common import table
 
 QUERIES: dict = {}
@@ -146,3 +146,14 @@ def op9_toxicity(spark, sf_dir):
 @query("op10_pii")
 def op10_pii(spark, sf_dir):
     return pii.personal_values(table(spark, sf_dir, "documents"))
+
+
+@query("op11_chunk_bpe")
+def op11_chunk_bpe(spark, sf_dir):
+    encoded = chunk_bpe.encode(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+        digests=True,
+    )
+    return encoded.withColumnRenamed("id", "doc_id")
