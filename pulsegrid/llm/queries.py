@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_bpe, mixing, pii, recipes, simhash, sketch, substrings, toxicity, unigram, url_filters
+from . import bpe, chunk_bpe, mixing, pii, prefix_trie, recipes, simhash, sketch, substrings, toxicity, unigram, url_filters
 from .common import table
 
 QUERIES: dict = {}
@@ -157,3 +157,53 @@ def op11_chunk_bpe(spark, sf_dir):
         digests=True,
     )
     return encoded.withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+    WITH said AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+    ), turns AS (
+      SELECT conv_id, len(role)::VARCHAR || ':' || role || text AS said,
+             len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(len(role)::VARCHAR || ':' || role || text)) AS n
+      FROM said
+    ), ids AS (
+      SELECT conv_id, conv_id - conv_id % 20 AS base,
+             xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                   lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                 lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384::UBIGINT)), 4294967295::UBIGINT) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM turns)
+    ), bases AS (
+      SELECT conv_id AS base, count(*) AS base_turns FROM turns GROUP BY conv_id
+    ), rebuilt AS (
+      SELECT i.conv_id, t.n AS depth, said, words FROM ids i JOIN turns t ON t.conv_id = i.base AND t.n <= i.h
+      UNION ALL
+      SELECT i.conv_id, t.n - i.h + least(i.h, coalesce(b.base_turns, 0)), said, words
+      FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.n > i.h LEFT JOIN bases b ON b.base = i.base
+    ), paths AS (
+      SELECT conv_id, 0::BIGINT AS depth, '' AS path, 0::BIGINT AS words FROM ids
+      UNION ALL
+      SELECT conv_id, depth::BIGINT, string_agg(md5(said), '') OVER (PARTITION BY conv_id ORDER BY depth), words FROM rebuilt
+    ), nodes AS (
+      SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY path, depth
+    ), ending AS (
+      SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+      FROM (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id) JOIN paths USING (conv_id, depth) GROUP BY path
+    ), below AS (
+      SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+    ), sized AS (
+      SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN below USING (path)
+    ), subtrees AS (
+      SELECT left(path, 32 * up) AS path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+      FROM (SELECT *, unnest(range(depth + 1)) AS up FROM sized) GROUP BY 1
+    )
+    SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens,
+           sha256(coalesce(e.ids, '')) AS ends_sha256
+    FROM sized s JOIN subtrees USING (path) LEFT JOIN ending e USING (path)
+    LEFT JOIN nodes p ON s.depth > 0 AND p.path = left(s.path, 32 * (s.depth - 1))
+    """,
+)
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
