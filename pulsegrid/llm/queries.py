@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_bpe, mixing, pii, prefix_trie, recipes, simhash, sketch, substrings, toxicity, unigram, url_filters
+from . import alignment, bpe, chunk_bpe, mixing, pii, prefix_trie, recipes, simhash, sketch, substrings, toxicity, unigram, url_filters
 from .common import table
 
 QUERIES: dict = {}
@@ -207,3 +207,14 @@ def op11_chunk_bpe(spark, sf_dir):
 )
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    counted = alignment.alignment_counts(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return counted.withColumnRenamed("id", "doc_id")
