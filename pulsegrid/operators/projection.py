@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..settings import cut_lineage
-from . import pairs, subspace
+from . import krylov, pairs
 from .attributes import attach_group_colour, OTHER_COLOUR
 from .outliers import mark_retained
 from .vectors import as_arrays, as_ml_vectors, to_triples
@@ -95,27 +97,28 @@ def plane_of_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def plane_by_iteration(triples: DataFrame, max_iter: int = 60, seed: int = 0) -> DataFrame:
-    """``(entity, pc1, pc2)`` when entities and items are both many: joins and sums only."""
-    rank = 8  # two components and six more for speed of convergence
-    ys = subspace.column_names(rank)
+    """``(entity, pc1, pc2)`` when entities and items are both many: joins and sums only. Warns if
+    ``max_iter`` rounds leave a residual above the tolerance."""
     triples = cut_lineage(triples.select("entity", "item", "rate"))  # every step reads it twice
+    entities = triples.select("entity").distinct()
+    width = max(1, min(8, len(entities.take(8))))  # two components and six more for speed of convergence
+
+    def weighted(table: DataFrame, key: str) -> DataFrame:
+        scaled = F.transform("y", lambda x: x * F.col("rate"))
+        summed = table.groupBy(key).agg(Summarizer.sum(array_to_vector(scaled)).alias("y"))
+        return summed.select(key, vector_to_array("y").alias("y"))
 
     def covariance_step(y: DataFrame) -> DataFrame:
-        per_item = triples.join(y, "entity").groupBy("item").agg(
-            *[F.sum(F.col("rate") * F.col(c)).alias(c) for c in ys]
-        )
-        back = triples.join(per_item, "item").groupBy("entity").agg(
-            *[F.sum(F.col("rate") * F.col(c)).alias(c) for c in ys]
-        )
-        return subspace.centred(back, rank)
-
-    start = subspace.centred(subspace.random_start(triples.select("entity").distinct(), rank, seed), rank)
-    axes, values = subspace.leading_eigenvectors(covariance_step, start, rank, 2, max_iter)
-    length = np.sqrt(np.maximum(values, 0.0))
-    plane = axes.select(
-        "entity", (F.col("y0") * float(length[0])).alias("pc1"), (F.col("y1") * float(length[1])).alias("pc2")
-    )
-    return _sign_fixed(plane)
+        per_item = weighted(triples.join(y, "entity"), "item")
+        return krylov.centred(weighted(triples.join(per_item, "item"), "entity"))
+
+    start = krylov.centred(krylov.random_start(entities, width, seed))
+    found = krylov.leading_eigenvectors(covariance_step, start, min(2, width), max_iter)
+    length = np.sqrt(np.maximum(found.values, 0.0)).tolist() + [0.0, 0.0]
+    named = [
+        (F.coalesce(F.get("y", F.lit(i)), F.lit(0.0)) * length[i]).alias(name) for i, name in enumerate(("pc1", "pc2"))
+    ]
+    return _sign_fixed(found.vectors.select("entity", *named))
 
 
 def plane_of_triples(triples: DataFrame, entities: DataFrame, block: int = pairs.BLOCK) -> DataFrame:

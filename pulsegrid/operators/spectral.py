@@ -1,28 +1,32 @@
 """Spectral clustering features: leading eigenvectors of the normalised affinity of the entities.
 
 The affinity is exp(-gamma * squared distance). Up to ``BLOCK`` entities it is one small matrix
-built from a pair table. For more, it is never stored: every step of the iteration recomputes it
-between two blocks of vectors inside a task and emits one weighted sum per entity.
+built from a pair table. For more, it is never stored: every round of the iteration recomputes it
+between two blocks of vectors inside a task and emits one array of weighted sums per entity. Both routes
+give the same features up to the iteration's tolerance.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distances import block_distances
 from ..settings import cut_lineage
-from . import subspace
+from . import krylov
 from .vectors import BLOCK, as_arrays, block_pairs, vector_pair_distances, vector_shape
 
 
 def spectral_features(
     vectors: DataFrame, k: int, gamma: float = 1.0, seed: int = 0, block: int = BLOCK, max_iter: int = 60
 ) -> DataFrame:
-    """``(entity, features)``: k coordinates per entity, to be clustered by k-means."""
+    """``(entity, features)``: k coordinates per entity, to be clustered by k-means. Warns if ``max_iter``
+    rounds of the iteration leave a residual above its tolerance."""
     vectors = as_arrays(vectors).select("entity", "features")
     if len(vectors.select("entity").take(block + 1)) <= block:
         return _from_pairs(vectors, k, gamma)
@@ -50,56 +54,50 @@ def _degree_root(degree: np.ndarray) -> np.ndarray:
     return np.sqrt(np.where(degree > 0, degree, 1.0))
 
 
-def affinity_sums(
-    vectors: DataFrame, columns: list[str], gamma: float, block: int | None, shape: tuple[int, int]
-) -> DataFrame:
-    """For every entity, the affinity-weighted sum of ``columns`` over the other entities."""
+def affinity_sums(vectors: DataFrame, gamma: float, block: int | None, shape: tuple[int, int]) -> DataFrame:
+    """``(entity, y)``: for every entity, the affinity-weighted sum of the array ``y`` over the other entities."""
     kind = vectors.schema["entity"].dataType.simpleString()
-    schema = f"entity {kind}, " + ", ".join(f"{c} double" for c in columns)
 
     def work(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame(columns=["entity", *columns])
+            return pd.DataFrame(columns=["entity", "y"])
         a, b = (np.stack(x["features"].to_numpy()) for x in (left, right))
         affinity = np.exp(-gamma * block_distances("sqeuclidean", a, b))
         if same:
             np.fill_diagonal(affinity, 0.0)
-        parts = [(left, affinity @ right[columns].to_numpy())]
+        parts = [(left, affinity @ np.stack(right["y"].to_numpy()))]
         if not same:
-            parts.append((right, affinity.T @ left[columns].to_numpy()))
-        return pd.concat(
-            pd.DataFrame(total, columns=columns).assign(entity=rows["entity"].to_numpy())[["entity", *columns]]
-            for rows, total in parts
-        )
+            parts.append((right, affinity.T @ np.stack(left["y"].to_numpy())))
+        return pd.concat(pd.DataFrame({"entity": rows["entity"].to_numpy(), "y": list(total)}) for rows, total in parts)
 
-    partial = block_pairs(vectors, work, schema, block, shape)
-    return partial.groupBy("entity").agg(*[F.sum(c).alias(c) for c in columns])
+    partial = block_pairs(vectors, work, f"entity {kind}, y array<double>", block, shape)
+    summed = partial.groupBy("entity").agg(Summarizer.sum(array_to_vector("y")).alias("y"))
+    return summed.select("entity", vector_to_array("y").alias("y"))
 
 
 def _by_iteration(vectors, k, gamma, seed, block, max_iter) -> DataFrame:
+    return eigenfeatures(vectors, k, gamma, seed, block, max_iter)[0]
+
+
+def eigenfeatures(
+    vectors: DataFrame, k: int, gamma: float = 1.0, seed: int = 0, block: int = BLOCK, max_iter: int = 60
+) -> tuple[DataFrame, krylov.Eigen]:
+    """The features of the iteration, and what it found: values, residuals, rounds."""
     shape = vector_shape(vectors)
-    ones = vectors.withColumn("degree", F.lit(1.0))
-    degrees = cut_lineage(affinity_sums(ones, ["degree"], gamma, block, shape))
+    ones = vectors.withColumn("y", F.array(F.lit(1.0)))
+    degrees = affinity_sums(ones, gamma, block, shape).select("entity", F.col("y")[0].alias("degree"))
     root = F.sqrt(F.when(F.col("degree") > 0, F.col("degree")).otherwise(1.0))
     based = cut_lineage(vectors.join(degrees.select("entity", root.alias("root")), "entity"))
-    rank = k + 6  # the extra columns speed up convergence
-    ys = subspace.column_names(rank)
+    width = min(k + 6, shape[0])  # the extra columns speed up convergence
+
+    def over_root(table: DataFrame, *kept: str) -> DataFrame:
+        return table.select("entity", *kept, F.transform("y", lambda x: x / F.col("root")).alias("y"))
 
     def step(y: DataFrame) -> DataFrame:
-        # (N + 1) / 2 has the eigenvectors of N, and no negative eigenvalue that could take over
-        scaled = based.join(y, "entity").select(
-            "entity", "features", *[(F.col(c) / F.col("root")).alias(c) for c in ys]
-        )
-        sums = affinity_sums(scaled, ys, gamma, block, shape).select(
-            "entity", *[F.col(c).alias(f"s_{c}") for c in ys]
-        )
-        joined = y.join(sums, "entity").join(based.select("entity", "root"), "entity")
-        return joined.select(
-            "entity", *[((F.col(c) + F.col(f"s_{c}") / F.col("root")) / 2).alias(c) for c in ys]
-        )
-
-    start = subspace.random_start(vectors.select("entity"), rank, seed)
-    axes, _ = subspace.leading_eigenvectors(step, start, rank, k, max_iter)
-    return axes.join(based.select("entity", "root"), "entity").select(
-        "entity", F.array(*[F.col(c) / F.col("root") for c in ys[:k]]).alias("features")
-    )
+        sums = affinity_sums(over_root(based.join(y, "entity"), "features"), gamma, block, shape)
+        return over_root(sums.join(based.select("entity", "root"), "entity"))
+
+    start = krylov.random_start(vectors.select("entity"), width, seed)
+    found = krylov.leading_eigenvectors(step, start, k, max_iter)
+    joined = found.vectors.join(based.select("entity", "root"), "entity")
+    return over_root(joined).withColumnRenamed("y", "features"), found

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import clustering, evaluation, projection, spectral, subspace
+from pulsegrid.operators import clustering, evaluation, krylov, projection, spectral
 from pulsegrid.operators.kmeans import fit_many
 from pulsegrid.operators.sweep import sweep
 from pulsegrid.operators.vectors import nearest_centroid
@@ -201,21 +201,46 @@ def test_nearest_centroid(spark):
     assert got == {0: 4, 1: 4, 2: 4, 3: 7, 4: 7, 5: 7}
 
 
-def test_subspace_iteration_matches_eigenvectors(spark):
+def test_krylov_iteration_matches_eigenvectors(spark):
     rng = np.random.default_rng(15)
-    matrix = rng.normal(size=(7, 7))
-    matrix = matrix @ matrix.T
-    cells = [(i, j, float(matrix[i, j])) for i in range(7) for j in range(7)]
-    edges = spark.createDataFrame(cells, "entity int, other int, w double").cache()
-    ys = subspace.column_names(3)
-
-    def apply(y):
-        other = y.withColumnRenamed("entity", "other")
-        return edges.join(other, "other").groupBy("entity").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ys])
-
-    start = subspace.random_start(spark.range(7).select(F.col("id").cast("int").alias("entity")), 3, 1)
-    _, values = subspace.leading_eigenvectors(apply, start, 3, 2)
-    assert values[:2] == pytest.approx(np.linalg.eigvalsh(matrix)[::-1][:2], rel=1e-6)
+    for n, widest, decay in ((7, 256, 0.0), (60, 12, 0.1)):  # all blocks fit; the basis is full several times
+        axes = np.linalg.qr(rng.normal(size=(n, n)))[0]
+        lengths = np.exp(-decay * np.arange(n)) if decay else np.abs(rng.normal(size=n)) + 1
+        matrix = (axes * lengths) @ axes.T
+        cells = [(i, j, float(matrix[i, j])) for i in range(n) for j in range(n)]
+        edges = spark.createDataFrame(cells, "entity int, other int, w double").repartition(3).cache()
+
+        def apply(y):
+            rows = edges.join(y.withColumnRenamed("entity", "other"), "other")
+            rows = rows.select("entity", "w", F.posexplode("y").alias("at", "x"))
+            summed = rows.groupBy("entity", "at").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+            listed = summed.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("l"))
+            return listed.select("entity", F.col("l.x").alias("y"))
+
+        start = krylov.random_start(spark.range(n).select(F.col("id").cast("int").alias("entity")), 4, 1)
+        found = krylov.leading_eigenvectors(apply, start, 2, widest=widest)
+        values, vectors = np.linalg.eigh(matrix)
+        assert found.values == pytest.approx(values[::-1][:2], rel=1e-6)
+        assert found.residuals.max() <= 1e-8
+        got = np.array([r["y"] for r in found.vectors.orderBy("entity").collect()])
+        assert np.abs(got.T @ vectors[:, ::-1][:, :2]) == pytest.approx(np.eye(2), abs=1e-5)
+        with pytest.warns(UserWarning, match="residuals"):
+            krylov.leading_eigenvectors(apply, start, 2, max_rounds=1, tol=1e-13)
+
+
+def test_spectral_iteration_is_the_exact_solution(spark):
+    rng = np.random.default_rng(16)
+    data = np.vstack([rng.normal(0, 0.5, (40, 3)) + 2 * c for c in range(4)])
+    vectors = as_vectors(spark, data)
+    features, found = spectral.eigenfeatures(vectors, 4, 0.7, block=23)
+    square = ((data[:, None] - data[None]) ** 2).sum(axis=2)
+    affinity = np.exp(-0.7 * square) - np.eye(len(data))
+    root = np.sqrt(affinity.sum(axis=1))
+    values, axes = np.linalg.eigh(affinity / np.outer(root, root))
+    assert found.values == pytest.approx(values[::-1][:4], abs=1e-9) and found.residuals.max() <= 1e-8
+    got = np.array([r["features"] for r in features.orderBy("entity").collect()])
+    want = axes[:, ::-1][:, :4] / root[:, None]
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-6)
 
 
 def test_more_languages_than_models_raise(spark, monkeypatch):
