@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import cut_lineage
+from .merging import added, as_batch
 
 WIDEST_BASIS = 256
-# Tasks that add up the products of all others.
-_ADDING_TASKS = 8
 
 
 class Eigen(NamedTuple):
@@ -77,22 +76,12 @@ def products(table: DataFrame, columns: list[str], work: Callable[..., np.ndarra
                 found = work(*(_dense(batch.column(c), batch.num_rows) for c in columns))
                 total = found if total is None else total + found
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["m"])
+            yield as_batch(total)
 
-    def add(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                found = _dense(batch.column("m"), batch.num_rows).sum(axis=0)
-                total = found if total is None else total + found
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["m"])
-
-    parts = table.select(*columns).mapInArrow(sums, "m array<double>")
-    parts = parts.repartition(_ADDING_TASKS).mapInArrow(add, "m array<double>").collect()
-    if not parts:
+    total = added(table.select(*columns).mapInArrow(sums, "m array<double>"))
+    if total is None:
         raise ValueError("there are no entities")
-    return np.sum([p["m"] for p in parts], axis=0)
+    return total
 
 
 def whitening(gram: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:

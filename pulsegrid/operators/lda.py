@@ -1,22 +1,39 @@
-"""Online LDA by variational Bayes over batches of documents.
+"""Online LDA by variational Bayes, all models at once and all executors in every update.
 
-The documents are laid out by batch once; an update is one job over the partitions of its batch and
-nothing else. Every pass takes every batch once, so every document is read exactly ``passes`` times. Only
-topics x terms numbers (both bounded) travel: to the tasks as they are, and back as one sum per task.
+The documents are dealt out to a fixed number of updates once. An update is one job over all partitions
+that hold its share, whatever its size: a task works through its documents and hands back one array with
+the topic x term sums of every model, and a few tasks add those up. So the number of jobs depends neither on
+the documents nor on the models; every pass reads every document exactly once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-BATCH_DOCUMENTS, PASSES = 128, 5
-# Documents of a batch that one task takes.
+from .merging import added, as_batch
+
+# Updates in a pass, passes over the documents.
+UPDATES, PASSES = 4, 5
+# Documents of an update that one task takes.
 _ROWS_PER_TASK = 2048
+# Cells of a dense block of documents.
+_CELLS = 1 << 18
+
+
+class Fitted(NamedTuple):
+    """Topic-term weights (topics x width); of each pass the documents read and the log likelihood of a word
+    under the weights that its updates began with."""
+
+    weights: np.ndarray
+    documents: list[int]
+    likelihoods: list[float]
 
 
 def _expected_log(x: np.ndarray) -> np.ndarray:
@@ -34,81 +51,115 @@ def _expected_log(x: np.ndarray) -> np.ndarray:
 
 
 def expectation(
-    documents: list[tuple[list[int], list[float]]], word_weights: np.ndarray, alpha: float, most: int = 100
-) -> np.ndarray:
-    """Expected (topic, term) counts of documents given as (indices, counts)."""
-    topics = len(word_weights)
-    sums = np.zeros(word_weights.shape)
-    for indices, counts in documents:
-        if not len(indices):
+    documents: Sequence[tuple[Sequence[int], Sequence[float]]], word_weights: np.ndarray, alpha: float, most: int = 100
+) -> tuple[np.ndarray, float, float]:
+    """Expected (topic, term) counts of documents given as (indices, counts), their log likelihood and words.
+
+    Documents are worked through in blocks of dense rows; each stops moving for itself.
+    """
+    topics, width = word_weights.shape
+    sums, likelihood, words = np.zeros(word_weights.shape), 0.0, 0.0
+    block = max(1, _CELLS // max(1, width))
+    for low in range(0, len(documents), block):
+        part = documents[low : low + block]
+        counts = np.zeros((len(part), width))
+        for row, (indices, values) in zip(counts, part):
+            row[indices] = values
+        counts = counts[counts.any(axis=1)]
+        if not len(counts):
             continue
-        own, counts = word_weights[:, indices], np.asarray(counts, float)
-        gamma = np.ones(topics)
+        gamma, moving = np.ones((len(counts), topics)), np.arange(len(counts))
         for _ in range(most):
-            theta = np.exp(_expected_log(gamma))
-            ratio = counts / (theta @ own + 1e-100)
-            new = alpha + theta * (own @ ratio)
-            moved = np.abs(new - gamma).mean()
-            gamma = new
-            if moved < 1e-3:
+            theta = np.exp(_expected_log(gamma[moving]))
+            new = alpha + theta * ((counts[moving] / (theta @ word_weights + 1e-100)) @ word_weights.T)
+            moved = np.abs(new - gamma[moving]).mean(axis=1)
+            gamma[moving] = new
+            moving = moving[moved >= 1e-3]
+            if not len(moving):
                 break
         theta = np.exp(_expected_log(gamma))
-        sums[:, indices] += theta[:, None] * own * (counts / (theta @ own + 1e-100))
-    return sums
+        mixed = theta @ word_weights + 1e-100
+        sums += word_weights * (theta.T @ (counts / mixed))
+        likelihood += float((counts * np.log(mixed)).sum())
+        words += float(counts.sum())
+    return sums, likelihood, words
 
 
-def fit(
+def fit_many(
     counts: DataFrame,
-    width: int,
+    widths: Sequence[int],
     topics: int,
-    documents: int,
-    batch_documents: int = BATCH_DOCUMENTS,
+    documents: Sequence[int],
+    updates: int = UPDATES,
     passes: int = PASSES,
     seed: int = 0,
-    offset: float = 50.0,
+    offset: float = 2.0,
     decay: float = 0.7,
-    on_batch=None,
-) -> np.ndarray:
-    """Topic-term weights (topics x width) of ``counts(doc, features)``.
+    on_update: Callable[[int, int, int], None] | None = None,
+) -> list[Fitted]:
+    """One model for each value 0, 1, … of ``model`` in ``counts(model, doc, features)``.
 
-    About ``documents / batch_documents`` batches by a hash of the document, whatever that number is; a
-    larger corpus is fitted in fewer updates with a larger ``batch_documents``. ``on_batch`` is told
-    (pass, batch, documents) of every update.
+    ``widths`` and ``documents`` are the vocabulary size and the number of documents of each model. A pass
+    has ``updates`` updates at every size; documents are dealt out by a hash. ``on_update`` is told (pass,
+    update, documents) of every update. A model's result does not depend on the models beside it.
     """
-    batches = max(1, ceil(documents / batch_documents))
-    tasks = max(1, ceil(batch_documents / _ROWS_PER_TASK))
     parts = F.unwrap_udt("features")
-    place = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(batches)) * tasks + F.pmod(
-        F.xxhash64("doc", F.lit(seed + 1)), F.lit(tasks)
-    )
+    models = range(len(widths))
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(cores, sum(documents)), ceil(sum(documents) / updates / _ROWS_PER_TASK))
+    share = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(updates)).cast("int")
+    place = share * tasks + F.pmod(F.xxhash64("doc", F.lit(seed + 1)), F.lit(tasks))
     laid = counts.select(
-        parts["indices"].alias("indices"), parts["values"].alias("values"), place.cast("int").alias("place")
-    ).repartitionById(batches * tasks, F.col("place"))
-    laid = laid.select("indices", "values").persist(StorageLevel.MEMORY_AND_DISK)
-    rows, context = laid.rdd, laid.sparkSession.sparkContext
+        "model", parts["indices"].alias("indices"), parts["values"].alias("values"), share.alias("share"), place.cast("int").alias("place")
+    ).repartitionById(updates * tasks, F.col("place"))
+    # The cache keeps the range of ``share`` of each of its pieces, so an update reads its own only.
+    laid = laid.select("share", "model", "indices", "values").persist(StorageLevel.MEMORY_AND_DISK)
+    context = laid.sparkSession.sparkContext
     alpha = eta = 1.0 / topics
-    rng = np.random.default_rng(seed)
-    weights = rng.gamma(100.0, 0.01, (topics, width))
-    step = 0
+    weights = [np.random.default_rng(seed).gamma(100.0, 0.01, (topics, w)) for w in widths]
+    order = np.random.default_rng(seed + 1)
+    starts = np.concatenate([[0], np.cumsum([topics * w + 3 for w in widths])])
+    steps = [0] * len(widths)
+    read = [[0] * passes for _ in models]
+    said = [[(0.0, 0.0)] * passes for _ in models]
     try:
         for turn in range(passes):
-            for batch in rng.permutation(batches).tolist():
-                shared = np.exp(_expected_log(weights))
-
-                def share(part, shared=shared):
-                    own = [(r["indices"], r["values"]) for r in part]
-                    yield len(own), expectation(own, shared, alpha)
-
-                found = context.runJob(rows, share, range(batch * tasks, (batch + 1) * tasks))
-                read = sum(n for n, _ in found)
-                if on_batch is not None:
-                    on_batch(turn, batch, read)
-                if not read:
-                    continue
-                step += 1
-                rate = (offset + step) ** -decay
-                sums = sum(s for _, s in found)
-                weights = (1 - rate) * weights + rate * (eta + documents / read * sums)
+            for update in order.permutation(updates).tolist():
+                sent = context.broadcast([np.exp(_expected_log(w)) for w in weights])
+
+                def work(batches, sent=sent):
+                    total = None
+                    for batch in batches:
+                        of = batch.column("model").to_numpy()
+                        lists = batch.column("indices").to_pylist(), batch.column("values").to_pylist()
+                        for m in np.unique(of).tolist():
+                            own = [(lists[0][i], lists[1][i]) for i in np.flatnonzero(of == m).tolist()]
+                            sums, likelihood, words = expectation(own, sent.value[m], alpha)
+                            total = np.zeros(starts[-1]) if total is None else total
+                            total[starts[m] : starts[m + 1]] += np.concatenate([sums.ravel(), [len(own), likelihood, words]])
+                    if total is not None:
+                        yield as_batch(total)
+
+                mine = laid.where(F.col("share") == update).select("model", "indices", "values")
+                total = added(mine.mapInArrow(work, "m array<double>"))
+                sent.unpersist()
+                total = np.zeros(starts[-1]) if total is None else total
+                for m in models:
+                    *sums, seen, likelihood, words = total[starts[m] : starts[m + 1]].tolist()
+                    read[m][turn] += int(seen)
+                    said[m][turn] = said[m][turn][0] + likelihood, said[m][turn][1] + words
+                    if seen:
+                        steps[m] += 1
+                        rate = (offset + steps[m]) ** -decay
+                        found = np.array(sums).reshape(topics, widths[m])
+                        weights[m] = (1 - rate) * weights[m] + rate * (eta + documents[m] / seen * found)
+                if on_update is not None:
+                    on_update(turn, update, int(sum(total[starts[m + 1] - 3] for m in models)))
     finally:
         laid.unpersist()
-    return weights
+    return [Fitted(weights[m], read[m], [a / max(b, 1.0) for a, b in said[m]]) for m in models]
+
+
+def fit(counts: DataFrame, width: int, topics: int, documents: int, **options) -> Fitted:
+    """One model of ``counts(doc, features)``; options as of ``fit_many``."""
+    return fit_many(counts.withColumn("model", F.lit(0)), [width], topics, [documents], **options)[0]

@@ -27,32 +27,40 @@ def topic_terms(topic_weights: np.ndarray, vocab: Vocabulary, words_per_topic: i
     return top_terms(weights, words_per_topic).select("topic", "rank", "term", "weight")
 
 
+def _check(method: str, number_of_topics: int, words_per_topic: int) -> None:
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}")
+    if number_of_topics < 1 or words_per_topic < 1:
+        raise ValueError("ask for at least one topic and one word")
+
+
+def shares(weights: np.ndarray) -> np.ndarray:
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
 def topics(
     docs: DataFrame,
     method: str = "lda",
     number_of_topics: int = 10,
     words_per_topic: int = 10,
     stop_words: Sequence[str] = (),
-    batch_documents: int = lda.BATCH_DOCUMENTS,
+    updates: int = lda.UPDATES,
     passes: int = lda.PASSES,
     **limits,
 ) -> DataFrame:
     """Topics of ``docs(doc, text)`` with a vocabulary of their own: ``(topic, rank, term, weight)``.
 
-    LDA reads every document ``passes`` times, in updates of about ``batch_documents``.
+    LDA reads every document ``passes`` times, each time in ``updates`` updates.
     """
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {', '.join(METHODS)}")
-    if number_of_topics < 1 or words_per_topic < 1:
-        raise ValueError("ask for at least one topic and one word")
+    _check(method, number_of_topics, words_per_topic)
     vocab = terms.fit_vocabulary(docs, stop_words, **limits)
     spark = docs.sparkSession
     if method == "lda":
         counts = terms.count_vectors(docs, vocab, stop_words)
         if number_of_topics == 1:  # one topic is the term distribution
             return _single_topic(counts, vocab, words_per_topic)
-        weights = lda.fit(counts, len(vocab.terms), number_of_topics, vocab.documents, batch_documents, passes)
-        return topic_terms(weights / weights.sum(axis=1, keepdims=True), vocab, words_per_topic, spark)
+        fitted = lda.fit(counts, len(vocab.terms), number_of_topics, vocab.documents, updates=updates, passes=passes)
+        return topic_terms(shares(fitted.weights), vocab, words_per_topic, spark)
     vectors = spread_rows(terms.tfidf_vectors(docs, vocab, stop_words), vocab.documents)
     factors = nmf.factorise(vectors, len(vocab.terms), number_of_topics)
     return topic_terms(factors.topics, vocab, words_per_topic, spark)
@@ -68,10 +76,13 @@ def _single_topic(counts: DataFrame, vocab: Vocabulary, words_per_topic: int) ->
 def topics_per_cluster(corpora: dict[str, DataFrame], **options) -> DataFrame:
     """Side by side for a few clusters: ``(cluster_id, topic, rank, term, weight)``.
 
-    The clusters' models are independent, so their jobs run next to each other.
+    LDA models of all clusters are fitted in the same jobs; other jobs of the clusters run next to each other.
     """
     if not corpora:
         raise ValueError("name at least one cluster")
+    method, number = options.get("method", "lda"), options.get("number_of_topics", 10)
+    _check(method, number, options.get("words_per_topic", 10))
+    together = method == "lda" and number > 1 and len(corpora) > 1
 
     def one(entry: tuple[str, DataFrame]) -> DataFrame:
         cluster_id, docs = entry
@@ -79,4 +90,38 @@ def topics_per_cluster(corpora: dict[str, DataFrame], **options) -> DataFrame:
         return listed.select(F.lit(cluster_id).alias("cluster_id"), "topic", "rank", "term", "weight")
 
     with ThreadPoolExecutor(max_workers=min(len(corpora), 8)) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, corpora.items()))
+        if together:
+            listed = _lda_together(corpora, pool, **options)
+        else:
+            listed = list(pool.map(one, corpora.items()))
+    return reduce(DataFrame.unionByName, listed)
+
+
+def _lda_together(
+    corpora: dict[str, DataFrame],
+    pool: ThreadPoolExecutor,
+    method: str = "lda",
+    number_of_topics: int = 10,
+    words_per_topic: int = 10,
+    stop_words: Sequence[str] = (),
+    updates: int = lda.UPDATES,
+    passes: int = lda.PASSES,
+    **limits,
+) -> list[DataFrame]:
+    """The same topics as one by one."""
+    vocabs = list(pool.map(lambda docs: terms.fit_vocabulary(docs, stop_words, **limits), corpora.values()))
+    counts = reduce(
+        DataFrame.unionByName,
+        (
+            terms.count_vectors(docs, vocab, stop_words).withColumn("model", F.lit(m))
+            for m, (docs, vocab) in enumerate(zip(corpora.values(), vocabs))
+        ),
+    )
+    widths, documents = [len(v.terms) for v in vocabs], [v.documents for v in vocabs]
+    fitted = lda.fit_many(counts, widths, number_of_topics, documents, updates=updates, passes=passes)
+    return [
+        topic_terms(shares(f.weights), vocab, words_per_topic, counts.sparkSession).select(
+            F.lit(cluster_id).alias("cluster_id"), "topic", "rank", "term", "weight"
+        )
+        for cluster_id, vocab, f in zip(corpora, vocabs, fitted)
+    ]

@@ -6,17 +6,18 @@ tables, what the counts have to be. Inputs are written as CSV from the given tab
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import clustering, clusters, evaluation, sparse_kmeans
+from ..operators import clustering, clusters, evaluation, lda, sparse_kmeans, spectral, terms
 from ..operators.sweep import sweep
 from ..operators.terms import fit_vocabulary
-from ..operators.topics import topics_per_cluster
-from ..operators.vectors import to_triples
+from ..operators.topics import shares, topic_terms, topics_per_cluster
+from ..operators.vectors import to_triples, vector_pair_distances
 from ..plans import commands
-from ..settings import checked_small, ensure_checkpoint_dir
+from ..settings import checked_small, cut_lineage, ensure_checkpoint_dir
 from ..sources import catalog, files
 from . import binding as b
 from .binding import RATES_SQL
@@ -111,6 +112,54 @@ def _(spark, sf_dir):
     )
 
 
+# Three copies of the embeddings, each moved a little: more rows than one block holds.
+_TILES = 3
+
+
+def _tiled(spark, sf_dir):
+    shifted = F.transform("features", lambda x: x + F.lit(0.01) * F.col("tile"))
+    rows = _embeddings(spark, sf_dir).withColumn("tile", F.explode(F.array(*map(F.lit, range(_TILES)))))
+    return rows.select((F.col("entity") * _TILES + F.col("tile")).alias("entity"), shifted.alias("features"))
+
+
+@query(
+    "spectral_iteration_checked",
+    f"""WITH tiled AS (
+      SELECT vec_id * {_TILES} + tile AS entity, list_transform(embedding, lambda x: x::DOUBLE + 0.01::DOUBLE * tile) AS v
+      FROM embeddings, (SELECT unnest(range({_TILES})) AS tile)
+    ), affinity AS (
+      SELECT a.entity, exp(-power(list_distance(a.v, b.v), 2)) AS weight FROM tiled a JOIN tiled b ON a.entity <> b.entity
+    )
+    SELECT (SELECT count(*) FROM tiled) AS rows, round(sum(weight) / (SELECT count(*) FROM tiled), 2) AS mean_degree,
+           1.0::DOUBLE AS leading_value, true AS unit_length, true AS eigenvalues_hold, true AS converged FROM affinity""",
+)
+def _(spark, sf_dir):
+    """The iteration beyond one block of rows. The leading vector is constant and tells the sum of all
+    affinities; each vector has length one and its value, by affinities from the table of all pairs."""
+    rows = cut_lineage(_tiled(spark, sf_dir))
+    features, found = spectral.eigenfeatures(rows, 10, 1.0, 7)
+    features = cut_lineage(features)
+    pairs = vector_pair_distances(rows, "sqeuclidean").select("a", "b", F.exp(-F.col("distance")).alias("weight"))
+    left, right = (features.select(F.col("entity").alias(c), F.col("features").alias(f"f{c}")) for c in "ab")
+    joined = pairs.join(left, "a").join(right, "b")
+    # of each pair and each vector: its part of the value, and of the length (the degrees are sums of weights)
+    sums = []
+    for i in range(10):
+        one, other = F.get("fa", F.lit(i)), F.get("fb", F.lit(i))
+        sums.append(F.sum(2 * F.col("weight") * one * other).alias(f"value{i}"))
+        sums.append(F.sum(F.col("weight") * (one * one + other * other)).alias(f"length{i}"))
+    row = joined.agg(*sums).first()
+    first = F.get("features", F.lit(0))
+    return features.agg(
+        F.count("*").alias("rows"),
+        F.round(1 / (F.max(first * first) * F.count("*")), 2).alias("mean_degree"),
+        F.lit(round(float(found.values[0]), 6)).alias("leading_value"),
+        F.lit(all(abs(row[f"length{i}"] - 1) < 1e-6 for i in range(10))).alias("unit_length"),
+        F.lit(all(abs(row[f"value{i}"] - found.values[i]) < 1e-6 for i in range(10))).alias("eigenvalues_hold"),
+        F.lit(bool(found.residuals.max() <= 1e-8)).alias("converged"),
+    )
+
+
 @query(
     "item_clusters_checked",
     f"""WITH {RATES_SQL} SELECT count(DISTINCT item) AS items, 0::BIGINT AS repeated, true AS all_labels FROM rates""",
@@ -171,6 +220,35 @@ def _(spark, sf_dir):
     return _topic_facts(spark, sf_dir, "lda")
 
 
+@query(
+    "lda_fit_checked",
+    f"""SELECT lang AS cluster_id, {lda.PASSES} * count(*)::BIGINT AS documents_read, true AS likelihood_rises,
+    true AS shares_sum_to_one FROM documents GROUP BY lang""",
+)
+def _(spark, sf_dir):
+    """The models of all languages, fitted together: every document is read once a pass, the words become
+    likelier, and a topic's shares of its terms sum to one."""
+    corpora = _languages(spark, sf_dir)
+    vocabs = [fit_vocabulary(docs, STOP_WORDS) for docs in corpora.values()]
+    counts = reduce(
+        DataFrame.unionByName,
+        (
+            terms.count_vectors(docs, vocab, STOP_WORDS).withColumn("model", F.lit(m))
+            for m, (docs, vocab) in enumerate(zip(corpora.values(), vocabs))
+        ),
+    )
+    fitted = lda.fit_many(counts, [len(v.terms) for v in vocabs], 10, [v.documents for v in vocabs])
+    rows = []
+    for lang, vocab, model in zip(corpora, vocabs, fitted):
+        listed = topic_terms(shares(model.weights), vocab, len(vocab.terms), spark)
+        sums = [r["total"] for r in listed.groupBy("topic").agg(F.sum("weight").alias("total")).collect()]
+        whole = len(sums) == 10 and all(abs(x - 1) < 1e-9 for x in sums)
+        rows.append((lang, sum(model.documents), model.likelihoods[-1] > model.likelihoods[0], whole))
+    return spark.createDataFrame(
+        rows, "cluster_id string, documents_read long, likelihood_rises boolean, shares_sum_to_one boolean"
+    )
+
+
 @query("nmf_checked", _TOPICS_SQL)
 def _(spark, sf_dir):
     return _topic_facts(spark, sf_dir, "nmf")

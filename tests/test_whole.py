@@ -137,22 +137,51 @@ def test_round_limit_is_reported(spark):
         assert not fit_many(rows.withColumnRenamed("id", "entity"), [5], 0, restarts=1, max_iter=1)[5].converged
 
 
+def lda_docs(spark, count):
+    word = F.col("id") % 5
+    text = F.concat(F.lit("common w"), word, F.lit(" w"), word, F.lit(" v"), word)
+    return spark.range(count).select(F.col("id").alias("doc"), text.alias("text"))
+
+
 def test_lda_reads_every_document_once_per_pass(spark):
     from pulsegrid.operators import lda, terms
 
-    docs = spark.range(4500).select(
-        F.col("id").alias("doc"), F.concat(F.lit("common w"), F.col("id") % 5, F.lit(" w"), F.col("id") % 5).alias("text")
-    )
-    vocab = terms.fit_vocabulary(docs)
-    seen = {}
-    weights = lda.fit(
-        terms.count_vectors(docs, vocab), len(vocab.terms), 5, 4500, passes=2,
-        on_batch=lambda turn, batch, n: seen.setdefault((turn, batch), n),
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for count in (450, 4500):
+        docs = lda_docs(spark, count)
+        vocab = terms.fit_vocabulary(docs)
+        seen = {}
+        spark.sparkContext.setJobGroup(f"lda-{count}", "")
+        fitted = lda.fit(
+            terms.count_vectors(docs, vocab), len(vocab.terms), 5, count, passes=3,
+            on_update=lambda turn, update, n: seen.setdefault((turn, update), n),
+        )
+        jobs.append(len(tracker.getJobIdsForGroup(f"lda-{count}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(seen) == 3 * lda.UPDATES
+        assert all(sum(n for (t, _), n in seen.items() if t == turn) == count for turn in range(3))
+        assert fitted.documents == [count] * 3
+        assert fitted.weights.shape == (5, len(vocab.terms)) and (fitted.weights > 0).all()
+        assert fitted.likelihoods[-1] > fitted.likelihoods[0]
+    assert jobs[0] == jobs[1]  # the number of jobs does not depend on the documents
+
+
+def test_lda_models_together_are_those_one_by_one(spark):
+    import numpy as np
+
+    from pulsegrid.operators import lda, terms
+
+    corpora = [lda_docs(spark, 300), lda_docs(spark, 120).withColumn("text", F.concat("text", F.lit(" other thing")))]
+    vocabs = [terms.fit_vocabulary(d, max_df=1.0) for d in corpora]
+    counts = [terms.count_vectors(d, v) for d, v in zip(corpora, vocabs)]
+    sizes = [len(v.terms) for v in vocabs], [300, 120]
+    together = lda.fit_many(
+        counts[0].withColumn("model", F.lit(0)).unionByName(counts[1].withColumn("model", F.lit(1))), sizes[0], 3, sizes[1]
     )
-    batches = -(-4500 // lda.BATCH_DOCUMENTS)
-    assert batches > 32 and len(seen) == 2 * batches
-    assert all(sum(n for (t, _), n in seen.items() if t == turn) == 4500 for turn in (0, 1))
-    assert weights.shape == (5, len(vocab.terms)) and (weights > 0).all()
+    for one, width, documents, found in zip(counts, *sizes, together):
+        alone = lda.fit(one, width, 3, documents)
+        assert np.allclose(alone.weights, found.weights, rtol=1e-6) and alone.documents == found.documents
 
 
 def test_singular_start_is_no_worse_than_a_random_one(spark):
