@@ -1,13 +1,15 @@
 """Base58 membership codes as Spark SQL expressions.
 
 A cluster of entities is a bit mask, highest bit first: the entity with ordinal 0 owns bit
-``width - 1``. The code is the mask written in Base58 digits. A mask lives in a BIGINT, so at most
-63 entities can be encoded.
+``width - 1``. The code is the mask written in Base58 digits. Up to 63 entities a mask is a BIGINT. A wider
+one is an array of pieces of 24 bits, and long division turns those into digits five at a time; the steps
+grow with the square of the width (WIDEST bounds it), and the codes are those of the same rule.
 """
 
 from __future__ import annotations
 
 MAX_WIDTH = 63
+WIDEST = 4096
 
 # The digits of the widely used Base58 alphabet, in digit order.
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -23,11 +25,13 @@ STATE_ORDER = [
 ]
 
 _DIGITS = 11  # 58**11 > 2**63
+# Wide masks: bits of a piece, digits of a limb. A limb times a piece is below 2**54.
+PIECE, _LIMB = 24, 5
 
 
 def check_width(width: int) -> int:
-    if not 1 <= width <= MAX_WIDTH:
-        raise ValueError(f"cluster codes hold 1 to {MAX_WIDTH} entities, not {width}")
+    if not 1 <= width <= WIDEST:
+        raise ValueError(f"cluster codes hold 1 to {WIDEST} entities, not {width}")
     return width
 
 
@@ -49,6 +53,55 @@ def decode_sql(code: str) -> str:
     return f"case when {code} rlike '^[{ALPHABET}]+$' then {value} end"
 
 
+def pieces_of(width: int) -> int:
+    return -(-width // PIECE)
+
+
+def _carried(digits: str, start: str, factor: int, base: int) -> str:
+    """SQL text: little-endian ``digits`` of a base, times a factor, plus ``start``; the carry beyond is lost."""
+    value = f"(x * {factor}L + s.carry)"
+    return (
+        f"aggregate({digits}, named_struct('carry', {start}, 'out', cast(array() as array<bigint>)), "
+        f"(s, x) -> named_struct('carry', {value} div {base}L, 'out', concat(s.out, array({value} % {base}L))), s -> s.out)"
+    )
+
+
+def encode_wide_sql(pieces: str, width: int) -> str:
+    """SQL text: array<bigint> ``pieces`` of a mask, the highest first, to its Base58 code."""
+    base = 58**_LIMB
+    limbs = -(-pieces_of(width) * PIECE // (base.bit_length() - 1))
+    divided = f"aggregate({pieces}, array_repeat(0L, {limbs}), (limbs, piece) -> {_carried('limbs', 'piece', 1 << PIECE, base)})"
+    digits = ", ".join(
+        f"substr('{ALPHABET}', cast(limb div {58 ** place}L % 58L as int) + 1, 1)" for place in range(_LIMB - 1, -1, -1)
+    )
+    written = f"array_join(transform(reverse({divided}), limb -> concat({digits})), '')"
+    return f"regexp_replace({written}, '^1+(?=.)', '')"
+
+
+def decode_wide_sql(code: str, width: int) -> str:
+    """SQL text: Base58 ``code`` to array<bigint> pieces, the lowest first; null if it has a foreign character
+    or does not fit ``width`` entities."""
+    pieces = pieces_of(width)
+    digits = f"regexp_replace({code}, '^1+(?=.)', '')"
+    # One piece more than the width has, so that what does not fit is seen; longer codes do not fit anyway.
+    longest = len(decimal_to_code((1 << width) - 1))
+    padded = f"lpad({digits}, {-(-longest // _LIMB) * _LIMB}, '1')"
+    limbs = f"transform(sequence(0, {-(-longest // _LIMB) - 1}), i -> substr({padded}, i * {_LIMB} + 1, {_LIMB}))"
+    value = f"aggregate(split(limb, ''), 0L, (v, digit) -> v * 58L + locate(digit, '{ALPHABET}') - 1L)"
+    found = f"aggregate({limbs}, array_repeat(0L, {pieces + 1}), (pieces, limb) -> {_carried('pieces', value, 58 ** _LIMB, 1 << PIECE)})"
+    above = f"shiftright(element_at(p, {pieces}), {width - (pieces - 1) * PIECE}) = 0 and element_at(p, {pieces + 1}) = 0"
+    fits = f"get(filter(array({found}), p -> {above}), 0)"
+    return f"case when {code} rlike '^[{ALPHABET}]+$' and length({digits}) <= {longest} then {fits} end"
+
+
+def decimal_to_code(mask: int) -> str:
+    digits = ""
+    while mask or not digits:
+        mask, digit = divmod(mask, 58)
+        digits = ALPHABET[digit] + digits
+    return digits
+
+
 def decode_positions(code: str, width: int) -> list[int]:
     """Ordinals named by one literal code, for filters that should reach the scan as constants."""
     check_width(width)

@@ -151,8 +151,21 @@ def block_statistics(a: np.ndarray, b: np.ndarray, wanted: set[str]) -> dict[str
 
 
 def block_distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances between the rows of two dense blocks."""
+    """All distances between the rows of two dense blocks.
+
+    Formulas that subtract products from squares lose what a common offset hides, so the offset goes first:
+    the mean row for the euclidean kinds, each row's own mean for the correlation.
+    """
     wanted, formula = DISTANCES[check_metric(metric)]
+    if formula in (_euclidean, _sqeuclidean) and len(b):
+        # To a power of two near the spread, so that equal rows and whole numbers stay exact.
+        centre = b.mean(axis=0)
+        spread = np.abs(b - centre).max(initial=0.0)
+        step = 2.0 ** np.floor(np.log2(spread)) if spread > 0 else 0.0
+        centre = np.rint(centre / step) * step if step else b[0]
+        a, b = a - centre, b - centre
+    elif formula is _correlation and a.shape[1]:
+        a, b = (x - x.mean(axis=1, keepdims=True) for x in (a, b))
     side = {}
     for key, block, shape in (("a", a, (-1, 1)), ("b", b, (1, -1))):
         side["n" + key] = (block != 0).sum(axis=1).reshape(shape).astype(float)

@@ -9,7 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.base58 import MAX_WIDTH, STATE_ORDER, check_width, decode_sql, encode_sql
+from ..functions.base58 import (
+    MAX_WIDTH,
+    PIECE,
+    STATE_ORDER,
+    WIDEST,
+    check_width,
+    decode_sql,
+    decode_wide_sql,
+    encode_sql,
+    encode_wide_sql,
+    pieces_of,
+)
 from ..settings import checked_small
 
 
@@ -22,38 +33,59 @@ def state_ordinals(spark: SparkSession) -> DataFrame:
 
 def _pinned(ordinals: DataFrame) -> tuple[DataFrame, int]:
     """The ordinal table, pinned, and its width; entities and ordinals have to be there once each."""
-    rows = ordinals.select("entity", "ord").take(MAX_WIDTH + 1)
+    rows = ordinals.select("entity", "ord").take(WIDEST + 1)
     width = len(rows)
     check_width(width)
     if sorted(r["ord"] for r in rows) != list(range(width)) or len({r["entity"] for r in rows}) < width:
         raise ValueError("ordinals must number every entity once, from 0 on")
-    return checked_small(ordinals.select("entity", "ord"), MAX_WIDTH), width
+    return checked_small(ordinals.select("entity", "ord"), WIDEST), width
 
 
 def cluster_ids(labels: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """``labels(entity, label)`` to ``(label, mask, cluster_id)``; an entity without an ordinal raises."""
+    """``labels(entity, label)`` to ``(label, mask, cluster_id)``; an entity without an ordinal raises. The
+    mask is null with more than 63 entities."""
     table, width = _pinned(ordinals)
     complaint = F.concat(F.lit("no ordinal for entity "), F.coalesce(F.col("entity").cast("string"), F.lit("null")))
-    bit = F.expr(f"shiftleft(1L, {width - 1} - ord)")
-    bit = F.when(F.col("ord").isNull(), F.raise_error(complaint).cast("long")).otherwise(bit)
-    return (
-        labels.join(table, "entity", "left")
-        .groupBy("label")
-        .agg(F.bit_or(bit).alias("mask"))
-        .withColumn("cluster_id", F.expr(encode_sql("mask")))
+    known = F.when(F.col("ord").isNull(), F.raise_error(complaint).cast("int")).otherwise(F.col("ord").cast("int"))
+    placed = labels.join(table, "entity", "left").select("label", (width - 1 - known).alias("place"))
+    if width <= MAX_WIDTH:
+        return (
+            placed.groupBy("label")
+            .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+            .withColumn("cluster_id", F.expr(encode_sql("mask")))
+        )
+    parts = placed.groupBy("label", F.expr(f"place div {PIECE}").cast("int").alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, place % {PIECE})")).alias("piece")
+    )
+    # A row for each of a label's pieces, of which there are as many as the width has.
+    wide = parts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("at", "piece"))).alias("found"))
+    pieces = F.transform(
+        F.sequence(F.lit(pieces_of(width) - 1), F.lit(0)), lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0).cast("long"))
+    )
+    return wide.select("label", F.lit(None).cast("long").alias("mask"), pieces.alias("pieces")).select(
+        "label", "mask", F.expr(encode_wide_sql("pieces", width)).alias("cluster_id")
     )
 
 
 def cluster_members(ids: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """``ids(cluster_id)`` to ``(cluster_id, mask, entity)``; a bad code raises."""
+    """``ids(cluster_id)`` to ``(cluster_id, mask, entity)``; a bad code raises. The mask is null with more
+    than 63 entities."""
     table, width = _pinned(ordinals)
-    decoded = F.expr(decode_sql("cluster_id"))
-    fits = decoded.isNotNull() & (F.shiftrightunsigned(decoded, width) == 0)
     complaint = F.concat(F.lit("not a cluster code here: "), F.col("cluster_id"))
+    if width <= MAX_WIDTH:
+        decoded = F.expr(decode_sql("cluster_id"))
+        fits = decoded.isNotNull() & (F.shiftrightunsigned(decoded, width) == 0)
+        masks = ids.select("cluster_id", F.when(fits, decoded).otherwise(F.raise_error(complaint)).alias("mask"))
+        named = f"(shiftright(mask, {width - 1} - ord) & 1L) = 1L"
+    else:
+        decoded = ids.select("cluster_id", F.expr(decode_wide_sql("cluster_id", width)).alias("pieces"))
+        wide = F.when(F.col("pieces").isNotNull(), F.col("pieces")).otherwise(F.raise_error(complaint).cast("array<bigint>"))
+        masks = decoded.select("cluster_id", F.lit(None).cast("long").alias("mask"), wide.alias("pieces"))
+        place = f"({width - 1} - ord)"
+        named = f"(shiftright(get(pieces, cast({place} div {PIECE} as int)), {place} % {PIECE}) & 1L) = 1L"
     return (
-        ids.select("cluster_id", F.when(fits, decoded).otherwise(F.raise_error(complaint)).alias("mask"))
-        .withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-        .filter(F.expr(f"(shiftright(mask, {width - 1} - ord) & 1L) = 1L"))
+        masks.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+        .filter(F.expr(named))
         .join(table, "ord")
         .select("cluster_id", "mask", "entity")
     )

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import base58
 from pulsegrid.functions.base58 import STATE_ORDER, decode_positions, decode_sql, encode_sql
 from pulsegrid.operators import attributes, clusters, ranking
 
@@ -52,8 +53,8 @@ def test_bad_code_in_a_table_raises(spark):
         clusters.cluster_members(bad, clusters.state_ordinals(spark)).collect()
 
 
-def test_more_than_63_entities_are_refused(spark):
-    ordinals = spark.range(64).select(F.col("id").alias("entity"), F.col("id").cast("int").alias("ord"))
+def test_more_entities_than_the_widest_code_are_refused(spark):
+    ordinals = spark.range(base58.WIDEST + 1).select(F.col("id").alias("entity"), F.col("id").cast("int").alias("ord"))
     with pytest.raises(ValueError):
         clusters.cluster_ids(ordinals.select("entity", F.lit(0).alias("label")), ordinals)
 
@@ -83,3 +84,30 @@ def test_display_text(spark):
     df = spark.createDataFrame([("x" * 60,), ("y" * 50,)], "t string")
     assert [r[0] for r in df.select(attributes.display_text(F.col("t"))).collect()] == ["x" * 47 + "...", "y" * 50]
     assert df.select(attributes.display_text(F.col("t"), None)).first()[0] == "x" * 60
+
+
+@pytest.mark.parametrize("width", [5, 63, 64, 100, 500])
+def test_wide_codes_are_those_of_a_big_integer(spark, width):
+    import random
+
+    pick = random.Random(width)
+    ordinals = spark.createDataFrame([(f"e{i}", i) for i in range(width)], "entity string, ord int")
+    members = {0: [0], 1: [width - 1], 2: list(range(width))}
+    members |= {k: pick.sample(range(width), pick.randint(1, width)) for k in range(3, 8)}
+    labels = spark.createDataFrame([(f"e{i}", k) for k, m in members.items() for i in m], "entity string, label int")
+    ids = clusters.cluster_ids(labels, ordinals)
+    got = {r["label"]: r["cluster_id"] for r in ids.collect()}
+    want = {k: base58.decimal_to_code(sum(1 << (width - 1 - i) for i in m)) for k, m in members.items()}
+    assert got == want
+    assert {k: base58.decode_positions(c, width) for k, c in got.items()} == {k: sorted(m) for k, m in members.items()}
+    back = {}
+    for r in clusters.cluster_members(ids.select("cluster_id").distinct(), ordinals).collect():
+        back.setdefault(r["cluster_id"], []).append(int(r["entity"][1:]))
+    assert {c: sorted(m) for c, m in back.items()} == {want[k]: sorted(m) for k, m in members.items()}
+
+
+@pytest.mark.parametrize("code", ["0", "", base58.decimal_to_code(1 << 100), base58.decimal_to_code(1 << 140)])
+def test_wide_codes_that_do_not_fit_raise(spark, code):
+    ordinals = spark.createDataFrame([(i, i) for i in range(100)], "entity int, ord int")
+    with pytest.raises(Exception, match="not a cluster code here"):
+        clusters.cluster_members(spark.createDataFrame([(code,)], "cluster_id string"), ordinals).collect()

@@ -182,3 +182,14 @@ def test_calinski_harabasz_without_spread_is_one(spark):
 def test_one_label_has_no_silhouette(spark):
     marks = spark.createDataFrame([(i, 0) for i in range(3)], "entity int, label int")
     assert evaluation.silhouette_vectors(as_vectors(spark, GOLDEN), marks).first()["silhouette"] is None
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "l2", "minkowski", "sqeuclidean", "seuclidean", "mahalanobis", "correlation"])
+def test_block_distances_do_not_depend_on_an_offset(metric):
+    import numpy as np
+
+    from pulsegrid.functions.distances import block_distances
+
+    rows = np.random.default_rng(8).normal(size=(6, 5))
+    want = block_distances(metric, rows[:4], rows)
+    assert block_distances(metric, rows[:4] + 1e8, rows + 1e8) == pytest.approx(want, abs=2e-6)
