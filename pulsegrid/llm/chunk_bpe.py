@@ -17,7 +17,8 @@ Merges are those of the tokenizer file. They run in tiktoken: every token of the
 alone (``ranks_of`` checks that the ids stand in merge order, the tests check the rest), and then merging
 the pair with the lowest id is the same as merging the pair that stands first in the list of merges.
 
-Whole texts move once, by the digest of the text and without copies; chunks move as digests of 16 bytes.
+Whole texts move once, by the digest of the text and without copies; chunks move as digests of 16 bytes,
+and the places of shared chunks are written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..settings import cut_lineage
 from .bpe import _batches, _rows
 from .common import released, whole_text
 
 # One byte in 2 ** CUT_BITS may be cut; a chunk has at least SHORTEST bytes and about LONGEST at most.
-CUT_BITS, SHORTEST, LONGEST = 9, 256, 8192
+CUT_BITS, SHORTEST, LONGEST = 10, 256, 8192
 # The hash has 16 bits, so it forgets a byte after 16 steps.
 WINDOW = 16
 GEAR = np.random.default_rng(11).integers(0, 1 << WINDOW, 256, np.uint16)
@@ -175,13 +177,17 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.first("text").alias("text"))
 
 
-def chunk_places(texts: DataFrame) -> DataFrame:
-    """digest, key, start, end of every chunk of every text that has more than one."""
+def chunk_places(rows: DataFrame) -> DataFrame:
+    """digest, key, start, end of every chunk of every row's text; a task skips the copies of a text."""
     schema = pa.schema([("digest", pa.binary()), ("key", pa.binary()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         def found():
+            seen = set()
             for key, text in _rows(batches):
+                if key in seen:
+                    continue
+                seen.add(key)
                 data = text.encode()
                 at = cuts(data)
                 for a, b in zip(at, at[1:]):
@@ -190,7 +196,16 @@ def chunk_places(texts: DataFrame) -> DataFrame:
 
         yield from _batches(found(), schema)
 
-    return texts.mapInArrow(released(run), "digest binary, key binary, start long, end long")
+    return rows.select("key", "text").mapInArrow(released(run), "digest binary, key binary, start long, end long")
+
+
+def shared_places(rows: DataFrame) -> DataFrame:
+    """digest, key, start, end, holder of the chunks that different texts have; holder is the smallest key."""
+    places = chunk_places(rows)
+    shared = places.groupBy("digest").agg(F.min("key").alias("holder"), F.max("key").alias("other"))
+    shared = shared.where("holder <> other").select(F.col("digest").alias("shared"), "holder")
+    uses = places.join(shared, F.col("digest") == F.col("shared")).select("digest", "key", "start", "end", "holder")
+    return uses.dropDuplicates(["key", "start"])
 
 
 def encode(
@@ -215,14 +230,11 @@ def encode(
         content = spark.sparkContext.broadcast(file.read())
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     # Never null; said here, so that every use of the texts has the same plan and shares one shuffle.
-    rows = rows.withColumn("key", F.unhex(F.sha2("text", 256))).where("key is not null")
+    rows = rows.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32))).where("key is not null")
     texts = distinct_texts(rows)
 
-    # Which chunks different texts share: narrow rows, summed map-side.
-    places = chunk_places(texts)
-    shared = places.groupBy("digest").agg(F.min("key").alias("holder"), F.max("key").alias("other"))
-    shared = shared.where("holder <> other").select(F.col("digest").alias("shared"), "holder")
-    uses = places.join(shared, F.col("digest") == F.col("shared")).select("digest", "key", "start", "end", "holder")
+    # Narrow rows; written, so that the next job reads which chunks are shared and cuts nothing again.
+    uses = cut_lineage(shared_places(rows))
 
     held = uses.where("key = holder").groupBy(F.col("key").alias("of")).agg(
         F.collect_list(F.struct("digest", "start", "end")).alias("chunks")
@@ -256,7 +268,7 @@ def encode(
     def stitch(batches):
         tokens = codec(content.value, pattern)
         outputs = (
-            [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+            [("n_tokens", pa.int64()), ("ids_sha256", pa.binary()), ("decoded_sha256", pa.binary())]
             if digests
             else [("ids", pa.binary()), ("decoded", pa.string())]
         )
@@ -266,15 +278,17 @@ def encode(
                 ids = stitched(tokens, text, [(c["start"], c["end"], c["ids"]) for c in chunks or ()])
                 decoded = tokens.decode(ids)
                 if digests:
-                    hashed = hashlib.sha256(decoded.encode()).hexdigest()
-                    yield key, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashed
+                    yield key, len(ids), hashlib.sha256(ids.tobytes()).digest(), hashlib.sha256(decoded.encode()).digest()
                 else:
                     yield key, ids.tobytes(), decoded
 
         yield from _batches(made(), pa.schema([("key", pa.binary()), *outputs]))
 
-    outputs = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
+    outputs = "n_tokens long, ids_sha256 binary, decoded_sha256 binary" if digests else "ids binary, decoded string"
     results = texts.join(known, F.col("key") == F.col("of"), "left").select("key", "text", "known")
     results = results.mapInArrow(released(stitch), f"key binary, {outputs}")
     results = results.withColumnRenamed("key", "of")
-    return rows.select("id", "key").join(results, F.col("key") == F.col("of")).drop("key", "of")
+    found = rows.select("id", "key").join(results, F.col("key") == F.col("of")).drop("key", "of")
+    if digests:
+        found = found.withColumns({c: F.lower(F.hex(c)) for c in ("ids_sha256", "decoded_sha256")})
+    return found
