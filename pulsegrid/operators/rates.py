@@ -14,15 +14,32 @@ from pyspark.sql import functions as F
 from ..settings import checked_small
 
 
-def locate_events(events: DataFrame, lookup: DataFrame, unique: bool = False) -> DataFrame:
+# Copies of each lookup row, between which the events of a location are dealt out.
+SALTS = 16
+
+
+def locate_events(events: DataFrame, lookup: DataFrame, unique: bool = False, salts: int = SALTS) -> DataFrame:
     """``events(location, item)`` and ``lookup(location, entity)`` to ``(item, entity)``.
 
     Events at unknown locations drop out. Unless ``unique`` promises one lookup row per location,
-    repeated rows are reduced to one, so they cannot multiply events.
+    repeated rows are reduced to one, so they cannot multiply events. Adaptive execution cannot split a hot
+    location behind that reduction, so its events are dealt out by item between ``salts`` copies of the row.
     """
-    if not unique:
-        lookup = lookup.groupBy("location").agg(F.min("entity").alias("entity"))
-    return events.join(lookup, "location").select("item", "entity")
+    if unique:
+        return events.join(lookup, "location").select("item", "entity")
+    once = lookup.groupBy("location").agg(F.min("entity").alias("entity"))
+    copies = once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = events.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int"))
+    return dealt.join(copies, ["location", "_salt"]).select("item", "entity")
+
+
+def located_counts(events: DataFrame, lookup: DataFrame, unique: bool = False, salts: int = SALTS) -> DataFrame:
+    """``(entity, item, n)`` straight from ``events(location, item)``: counted per location and item first,
+    map-side combined, so that a hot location or item is a partial sum of every task before the join."""
+    counted = events.groupBy("location", "item").agg(F.count("*").alias("n"))
+    packed = counted.select("location", F.struct("item", "n").alias("item"))
+    found = locate_events(packed, lookup, unique, salts)
+    return found.groupBy("entity", F.col("item.item").alias("item")).agg(F.sum("item.n").alias("n"))
 
 
 def location_report(events: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -347,7 +347,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The matrix as a managed table, noted with the fingerprint of its input and found again by it."""
     name = f"engagement_{uuid.uuid4().hex}"
-    inputs = {"nation": b.table(spark, sf_dir, "nation"), "customer": b.table(spark, sf_dir, "customer")}
+    inputs = {t: b.table(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem")}
     catalog.load_or_build(spark, name, lambda: b.rates(spark, sf_dir), inputs)
 
     def never():

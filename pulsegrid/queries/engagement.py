@@ -189,3 +189,8 @@ def region_corpora(spark, sf_dir, sample):
         b.located(spark, sf_dir), b.items(spark, sf_dir), codes, b.ordinals(spark, sf_dir), sample
     )
     return docs, codes
+
+
+@query("located_counts", f"WITH {b.LOCATED_SQL} SELECT entity, item, count(*) AS n FROM located GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return rates.located_counts(b.raw_events(spark, sf_dir), b.lookup(spark, sf_dir))

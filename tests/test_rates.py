@@ -113,3 +113,30 @@ def test_rates_with_a_shuffled_dimension_and_hot_keys(spark, monkeypatch):
         want[tuple(r)] = want.get(tuple(r), 0) + 1
     want = {k: n * 1000 / (k[0] + 10) for k, n in want.items()}
     assert got == again and got == pytest.approx(want)
+
+
+def test_hot_location_is_spread(spark):
+    """Nine events in ten are at one location, and its lookup row is there twice."""
+    place = F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id") % 97))
+    events = spark.range(40_000).select(place.alias("location"), (F.col("id") % 1009).alias("item"))
+    known = [("hot", "A"), ("hot", "B")] + [(f"p{i}", "AB"[i % 2]) for i in range(90)]
+    lookup = spark.createDataFrame(known, "location string, entity string").repartition(4)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = rates.locate_events(events, lookup, salts=256).withColumn("task", F.spark_partition_id())
+        sizes = sorted(r["count"] for r in found.groupBy("task").count().collect())
+        assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {}
+    entity = dict(reversed(known))
+    for i in range(40_000):
+        location = "hot" if i % 10 < 9 else f"p{i % 97}"
+        if location in entity:
+            key = entity[location], i % 1009
+            want[key] = want.get(key, 0) + 1
+    got = {(r["entity"], r["item"]): r["n"] for r in rates.located_counts(events, lookup).collect()}
+    assert got == want
