@@ -69,7 +69,7 @@ def op5_token_counts(spark, sf_dir):
       SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
     )
     SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-           coalesce(doc_id = min(doc_id) OVER same, false) AS kept, sha256(norm) AS text_sha256
+           row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
     FROM texts WINDOW same AS (PARTITION BY norm)
     """,
 )

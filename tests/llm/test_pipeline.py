@@ -21,11 +21,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tab
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert names["pipeline"] is corpus_pipeline.run and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
-@pytest.mark.parametrize("name", ["op6_exact_dedup", "op7_mixing"])
+@pytest.mark.parametrize("name", ["op6_exact_dedup", "op7_mixing", "op12_prefix_trie"])
 def test_same_rows_as_sql(spark, name):
     duck = duckdb.connect()
     for file in os.listdir(SF_DIR):
