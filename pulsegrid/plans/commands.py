@@ -176,7 +176,10 @@ def cluster_topics(docs: DataFrame, cluster_ids: Sequence[str], **options) -> Da
     kept while the models read it again and again."""
     docs = docs.persist()
     corpora = {c: docs.filter(F.col("cluster_id") == c).select("doc", "text") for c in cluster_ids}
-    return topics.topics_per_cluster(corpora, **options)
+    found = topics.topics_per_cluster(corpora, **options)
+    if options.get("number_of_topics", 10) > 1:  # models are fitted by now; a single topic is a plain query
+        docs.unpersist()
+    return found
 
 
 def topic_extraction(

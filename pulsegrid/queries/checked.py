@@ -269,6 +269,19 @@ def _(spark, sf_dir):
     return ids.select("label", "cluster_id").join(members, "cluster_id").select("label", "entity")
 
 
+@query(
+    "sorted_labels",
+    f"""WITH {RATES_SQL} SELECT entity, row_number() OVER (ORDER BY entity) AS position
+    FROM (SELECT DISTINCT entity FROM rates)""",
+)
+def _(spark, sf_dir):
+    """The place of every entity in the report's table of labels."""
+    result = clustering.cluster(_space(spark, sf_dir), 5, seed=7)
+    labels = commands.report(result, b.ordinals(spark, sf_dir)).labels
+    placed = labels.select("entity", F.monotonically_increasing_id().alias("at"))  # grows with partition and row
+    return placed.select("entity", F.row_number().over(Window.orderBy("at")).cast("long").alias("position"))
+
+
 @query("label_map", "SELECT n_nationkey AS entity, n_regionkey AS label FROM nation")
 def _(spark, sf_dir):
     labels = clusters.label_map(b.region_labels(spark, sf_dir))
