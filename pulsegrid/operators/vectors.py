@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distances import block_distances, check_metric
+from ..settings import checked_small
 
 BLOCK = 1024
 _BLOCK_CELLS = 1 << 22
@@ -167,8 +168,11 @@ def label_distance_sums(
     ``(k, entity, own, label, total, n)``.
     """
     check_metric(metric)
-    transform = metric_transform(vectors, metric)
     k = F.col("k") if "k" in labels.columns else F.lit(0)
+    if metric in ("sqeuclidean", "cosine"):
+        marks = labels.select("entity", k.cast("int").alias("k"), F.col("label").cast("int").alias("own"))
+        return _linear_label_sums(vectors, marks, metric)
+    transform = metric_transform(vectors, metric)
     pairs = F.sort_array(F.collect_list(F.struct(k.cast("int").alias("k"), F.col("label").cast("int").alias("label"))))
     marks = labels.groupBy("entity").agg(pairs.alias("marks"))
     marked = vectors.join(marks, "entity").select(
@@ -207,6 +211,36 @@ def label_distance_sums(
     return sums.groupBy("k", "entity", "own", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+def _linear_label_sums(vectors: DataFrame, marks: DataFrame, metric: str) -> DataFrame:
+    """``label_distance_sums`` without pairs: a label's members enter by their number, sum and square sum."""
+    rows = as_arrays(vectors).select("entity", "features")
+    square = F.aggregate("x", F.lit(0.0), lambda total, v: total + v * v)
+    if metric == "cosine":
+        length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda total, v: total + v * v))
+        moved = F.transform("features", lambda v: F.coalesce(F.try_divide(v, length), F.lit(0.0)))
+    else:
+        # the mean goes first: it adds nothing to a distance and hides small ones
+        mean = rows.select(Summarizer.mean(array_to_vector("features")).alias("m")).first()["m"]
+        centre = F.lit([float(v) for v in mean] if mean is not None else [0.0])
+        moved = F.zip_with("features", centre, lambda v, c: v - c)
+    rows = rows.select("entity", moved.alias("x")).withColumn("q", square)
+    marked = rows.join(marks, "entity")
+    per = marked.groupBy("k", F.col("own").alias("label")).agg(
+        F.count("*").alias("n"), F.sum("q").alias("squares"), Summarizer.sum(array_to_vector("x")).alias("s")
+    )
+    per = checked_small(per.select("k", "label", "n", "squares", vector_to_array("s").alias("s")))
+    paired = marked.join(per, "k")
+    dot = F.aggregate(F.zip_with("x", "s", lambda v, w: v * w), F.lit(0.0), lambda total, v: total + v)
+    mine = F.col("own") == F.col("label")
+    if metric == "cosine":
+        # without oneself, whose distance to itself is 0
+        total = F.col("n") - dot - F.when(mine, 1 - F.col("q")).otherwise(0.0)
+    else:
+        total = F.col("n") * F.col("q") - 2 * dot + F.col("squares")
+    others = (F.col("n") - mine.cast("long")).alias("n")
+    return paired.select("k", "entity", "own", "label", F.greatest(total, F.lit(0.0)).alias("total"), others)
+
+
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, max_centroids: int = 4096) -> DataFrame:
     """Label every vector with its closest centroid (lowest label on a tie), without a shuffle."""
     rows = sorted(as_arrays(centroids).select("label", "features").take(max_centroids + 1))

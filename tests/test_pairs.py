@@ -193,3 +193,29 @@ def test_block_distances_do_not_depend_on_an_offset(metric):
     rows = np.random.default_rng(8).normal(size=(6, 5))
     want = block_distances(metric, rows[:4], rows)
     assert block_distances(metric, rows[:4] + 1e8, rows + 1e8) == pytest.approx(want, abs=2e-6)
+
+
+@pytest.mark.parametrize("metric, offset", [("sqeuclidean", 0.0), ("sqeuclidean", 1e6), ("cosine", 0.0)])
+def test_label_sums_without_pairs(spark, metric, offset):
+    """Two labellings at once, a lone member, equal rows and a row of zeros, against all pairs."""
+    import numpy as np
+
+    from pulsegrid.functions.distances import block_distances
+
+    rows = np.random.default_rng(4).normal(size=(9, 3)) + offset
+    rows[3] = rows[2]
+    if not offset:
+        rows[5] = 0.0
+    marks = {0: [0, 0, 1, 1, 1, 2, 0, 1, 0], 1: [4] * 9}
+    labels = spark.createDataFrame([(k, i, x) for k, m in marks.items() for i, x in enumerate(m)], "k int, entity int, label int")
+    found = vectors.label_distance_sums(as_vectors(spark, rows), labels, metric).collect()
+    pairs = block_distances(metric, rows, rows)
+    np.fill_diagonal(pairs, 0.0)
+    want = {
+        (k, i, m[i], x): (pairs[i][[j for j in range(9) if m[j] == x]].sum(), sum(v == x for v in m) - (m[i] == x))
+        for k, m in marks.items() for i in range(9) for x in set(m)
+    }
+    got = {(r["k"], r["entity"], r["own"], r["label"]): (r["total"], r["n"]) for r in found}
+    assert got.keys() == want.keys() and len(found) == len(want)
+    for key, (total, n) in want.items():
+        assert got[key][0] == pytest.approx(total, abs=1e-6) and got[key][1] == n
