@@ -182,36 +182,50 @@ def _email(found: str, key: bytes, back: bool) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
-_FIRST_DAY, _DAYS = datetime.date(1900, 1, 1), 73_049  # to the end of 2099
+# Dates are permuted among those of one era, one range of months and one range of days. So a part of one digit
+# stays one, a day above 12 stays above 12, and every way to write a date gives it the same pseudonym.
+_ERAS, _MONTHS, _MONTH_DAYS = (1, 1900, 2100, 10_000), (1, 10, 13), (1, 10, 13, 32)
+
+
+def _range(value: int, starts: tuple[int, ...]) -> tuple[int, int]:
+    """First number and length of the range that a value is in."""
+    return next((low, high - low) for low, high in zip(starts, starts[1:]) if low <= value < high)
+
+
+def _is_day(year: int, month: int, day: int) -> bool:
+    try:
+        return bool(datetime.date(year, month, day))
+    except ValueError:
+        return False
+
+
+def _other_day(year: int, month: int, day: int, key: bytes, back: bool) -> tuple[int, int, int]:
+    """The pseudonym of a day of the calendar: again and again until the result is such a day."""
+    (y0, years), (m0, months), (d0, days) = _range(year, _ERAS), _range(month, _MONTHS), _range(day, _MONTH_DAYS)
+    network = Feistel(key, f"date|{y0}|{m0}|{d0}", years * months * days)
+    number = ((year - y0) * months + month - m0) * days + day - d0
+    while True:
+        number = network.permute(number, back)
+        rest, d = divmod(number, days)
+        y, m = divmod(rest, months)
+        if _is_day(y + y0, m + m0, d + d0):
+            return y + y0, m + m0, d + d0
 
 
 def _date(order: str, above: int = 0) -> Callable[[str, bytes, bool], str | None]:
-    """Dates with their parts in an order; with a day above a number, and so are their pseudonyms."""
+    """Dates with their parts in an order, and with a day above a number; every part keeps its width."""
 
     def replace(found: str, key: bytes, back: bool) -> str | None:
-        numbers = re.findall(r"\d+", found)
-        parts = dict(zip(order, map(int, numbers)))
-        try:
-            day = (datetime.date(parts["y"], parts["m"], parts["d"]) - _FIRST_DAY).days
-        except ValueError:
-            return None
-        if not 0 <= day < _DAYS or parts["d"] <= above:
+        parts = dict(zip(order, map(int, re.findall(r"\d+", found))))
+        if parts["d"] <= above or not _is_day(parts["y"], parts["m"], parts["d"]):
             return None
-        network, new = Feistel(key, "date", _DAYS), datetime.date.min
-        while new == datetime.date.min or new.day <= above:
-            day = network.permute(day, back)
-            new = _FIRST_DAY + datetime.timedelta(day)
-        values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return _fill(_padded(found), "".join(values[c] for c in order))
+        new = dict(zip("ymd", _other_day(parts["y"], parts["m"], parts["d"], key, back)))
+        values = iter(new[c] for c in order)
+        return re.sub(r"\d+", lambda old: f"{next(values):0{len(old.group())}d}", found)
 
     return replace
 
 
-def _padded(found: str) -> str:
-    """A date with two digits for day and month, so that every date fits."""
-    return re.sub(r"(?<!\d)\d(?!\d)", "00", found)
-
-
 #: Kind, pattern, replacement; at one place the first that validates counts.
 KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", _email),
@@ -285,8 +299,8 @@ def personal_values(
     """id, kind, start, end (characters), pseudonym: one row for each personal value of each row.
 
     Texts without any, null and empty ones, have no row; repeated rows give their rows again; a null id
-    stays null; an empty table gives no rows; other columns are not read. The values themselves are not
-    part of the result.
+    stays null; an empty table gives no rows; other columns are not read. Texts of any length are searched
+    whole. The values themselves are not part of the result.
     """
     id_type, arrow_id = docs.schema[id_col].dataType.simpleString(), _arrow_type(docs, id_col)
     ints = pa.int32()

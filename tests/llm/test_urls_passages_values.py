@@ -275,3 +275,47 @@ def test_digits_of_other_scripts_count_and_keep_their_script(spark):
             rows.append((len(rows), other))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in pii.personal_values(docs).collect()) == [i for i, _ in rows]
+
+
+def written_dates(year, month, day):
+    """A date in every order and width that reads as it alone."""
+    out = [f"{year:04d}-{month:02d}-{day:02d}"]
+    for d in {str(day), f"{day:02d}"}:
+        for m in {str(month), f"{month:02d}"}:
+            out += [f"{d}.{m}.{year:04d}", f"{m}/{d}/{year:04d}"] + ([f"{d}/{m}/{year:04d}"] if day > 12 else [])
+    return out
+
+
+def date_parts(text):
+    a, b, c = (int(x) for x in re.findall(r"\d+", text))
+    return (a, b, c) if "-" in text else (c, b, a) if "." in text or a > 12 else (c, a, b)
+
+
+def test_dates_keep_widths_and_links_in_every_order():
+    rng = random.Random(5)
+    days = [(rng.choice((1, 850, 1776, 1899, 1900, 1969, 2020, 2099, 2100, 9999)), rng.randint(1, 12), rng.randint(1, 28)) for _ in range(150)]
+    days += [(2000, 2, 29), (2024, 2, 29), (1900, 1, 31), (2099, 12, 31), (2020, 1, 12), (2020, 12, 13), (2020, 10, 10)]
+    for parts in days:
+        new = set()
+        for value in written_dates(*parts):
+            text = f"born {value}, died"
+            after = pii.pseudonymised(text, b"key")
+            assert re.sub(r"\d", "0", after) == re.sub(r"\d", "0", text)
+            assert pii.pseudonymised(after, b"key", back=True) == text
+            new.add(date_parts(after[5:-6]))
+        assert len(new) == 1, parts
+    for value in ("29.02.1900", "0000-01-01", "1.13.2020", "0/5/2020", "31/4/2021"):
+        assert pii.pseudonymised(f"on {value} at", b"key") == f"on {value} at"
+
+
+def test_pseudonyms_of_days_are_a_permutation():
+    months = [(y, m, d) for y in range(1996, 2005) for m in (1, 9, 10, 12) for d in (1, 9, 10, 12, 13, 28)]
+    new = [pii._other_day(*day, b"key", False) for day in months]
+    assert len(set(new)) == len(months)
+    assert [pii._other_day(*day, b"key", True) for day in new] == months
+
+
+def test_values_deep_in_a_long_text_are_found(spark):
+    rows = [(1, "word " * 400_000 + "on 1.2.2020 " + "1 " * 200_000 + "5/13/2021")]
+    got = pii.personal_values(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.kind, r.end - r.start) for r in got] == [("date", 8), ("date", 9)]
