@@ -13,6 +13,7 @@ from . import binding as b
 from .binding import RATES_SQL
 from .distance import STATS_SQL
 from .engagement import region_corpora
+from .plane_sql import EMBEDDINGS_PLANE_SQL, RATES_PLANE_SQL
 from .registry import query
 from .text import STOP_WORDS
 
@@ -26,9 +27,23 @@ def _embeddings(spark, sf_dir):
     return as_arrays(table.select(F.col("vec_id").alias("entity"), F.col("embedding").alias("features")))
 
 
-@query("pca2")
+def _rounded(plane):
+    """Scores of 4 digits, without a negative zero."""
+    return plane.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("pc1", "pc2")})
+
+
+_PLANE_COLUMNS = "entity, round(pc1, 4) + 0.0::DOUBLE AS pc1, round(pc2, 4) + 0.0::DOUBLE AS pc2"
+
+
+@query("pca2", f"WITH {RATES_PLANE_SQL} SELECT {_PLANE_COLUMNS} FROM plane")
 def _(spark, sf_dir):
-    return projection.plane_of_triples(b.rates(spark, sf_dir), b.ordinals(spark, sf_dir))
+    return _rounded(projection.plane_of_triples(b.rates(spark, sf_dir), b.ordinals(spark, sf_dir)))
+
+
+@query("pca2_iteration", f"WITH {RATES_PLANE_SQL} SELECT {_PLANE_COLUMNS} FROM plane")
+def _(spark, sf_dir):
+    """The same plane by the iteration that many entities with many items need."""
+    return _rounded(projection.plane_by_iteration(b.rates(spark, sf_dir)))
 
 
 # Not SQL themselves, the compact coordinates must keep the distances of the whole matrix.
@@ -55,19 +70,25 @@ def _(spark, sf_dir):
     return rows.agg(F.round(F.sum(square), 1).alias("total"))
 
 
-@query("pca2_vectors")
+@query("pca2_vectors", f"WITH {EMBEDDINGS_PLANE_SQL} SELECT {_PLANE_COLUMNS} FROM plane")
 def _(spark, sf_dir):
-    return projection.plane_of_vectors(_embeddings(spark, sf_dir))
+    return _rounded(projection.plane_of_vectors(_embeddings(spark, sf_dir)))
 
 
-@query("projection")
+@query(
+    "projection",
+    f"""WITH {RATES_PLANE_SQL}
+    SELECT {_PLANE_COLUMNS}, CASE substr(r_name, 1, 1) WHEN 'R' THEN 'red' WHEN 'D' THEN 'blue' ELSE 'black' END AS colour,
+      abs(pc1 - avg(pc1) OVER ()) < stddev_pop(pc1) OVER () AND abs(pc2 - avg(pc2) OVER ()) < stddev_pop(pc2) OVER () AS retained
+    FROM plane LEFT JOIN nation ON entity = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
+)
 def _(spark, sf_dir):
     nation, region = b.table(spark, sf_dir, "nation"), b.table(spark, sf_dir, "region")
     groups = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").alias("entity"), F.substring("r_name", 1, 1).alias("party")
     )
     plane = projection.plane_of_triples(b.rates(spark, sf_dir), b.ordinals(spark, sf_dir))
-    return projection.projection_table(plane, groups, 1.0)
+    return _rounded(projection.projection_table(plane, groups, 1.0))
 
 
 @query("kmeans")
