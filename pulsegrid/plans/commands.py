@@ -59,12 +59,11 @@ def load_tables(
 def engagement_matrix(spark: SparkSession, tables: Tables = Tables(), force: bool = False) -> DataFrame:
     """The stored long matrix, built on first use and again when events or entities have changed."""
     catalog.require_tables(spark, tables.loaded)
-    inputs = {name: spark.table(name) for name in (tables.events, tables.entities)}
     return catalog.load_or_build(
         spark,
         tables.matrix,
-        lambda: rates.engagement_rates(inputs[tables.events], inputs[tables.entities]),
-        inputs=inputs,
+        lambda: rates.engagement_rates(spark.table(tables.events), spark.table(tables.entities)),
+        inputs={name: name for name in (tables.events, tables.entities)},
         force=force,
     )
 

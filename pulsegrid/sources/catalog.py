@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..settings import cut_lineage
+
 _PROBE = "pulsegrid_write_probe"
 _SOURCE = "pulsegrid.source"
 
@@ -64,13 +66,9 @@ def write_table(df: DataFrame, name: str, spread_by: str | None = None) -> None:
     spread.write.mode("overwrite").format("parquet").partitionBy(spread_by).saveAsTable(name)
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """``(rows, checksum)`` of a table, whatever the order of its rows.
-
-    A field is written with its length, so that no two rows read alike; timestamps count in microseconds,
-    arrays, maps and structs as JSON. The two halves of every row's digest are added up exactly, as
-    decimals, so that no number of rows overflows.
-    """
+def _row_digest(kinds: Sequence[tuple[str, str]]) -> Column:
+    """MD5 of a row: each field with its length, so that no two rows read alike; timestamps count in
+    microseconds, arrays, maps and structs as JSON."""
 
     def field(name: str, kind: str) -> Column:
         column = F.col(f"`{name}`")
@@ -83,19 +81,104 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
         text = F.base64(column) if kind == "binary" else column.cast("string")
         return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("null"))
 
-    digest = F.md5(F.concat(F.lit(""), *[field(c, kind) for c, kind in df.dtypes]))
+    return F.md5(F.concat(F.lit(""), *[field(c, kind) for c, kind in kinds]))
+
+
+def _digest_sums(kinds: Sequence[tuple[str, str]]) -> list[Column]:
+    """rows, high, low: the two halves of every row's digest are added up exactly, as decimals, so that no
+    number of rows overflows. Sums of parts of a table add up to those of the table."""
+    digest = _row_digest(kinds)
 
     def half(start: int) -> Column:
         part = F.conv(F.substring(digest, start, 16), 16, 10).cast("decimal(20,0)")
-        return F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string")
+        return F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)")
+
+    return [F.count("*").alias("rows"), half(1).alias("high"), half(17).alias("low")]
+
+
+def _checksum() -> Column:
+    return F.concat(F.col("high").cast("string"), F.lit("-"), F.col("low").cast("string")).alias("checksum")
+
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """``(rows, checksum)`` of a table, whatever the order of its rows."""
+    return df.agg(*_digest_sums(df.dtypes)).select("rows", _checksum())
+
+
+_FILE = ("path", "size", "modified")
+# With more new files than this a scan of the whole table is simpler than a list of them.
+_LISTED_FILES = 10_000
 
-    return df.agg(F.count("*").alias("rows"), F.concat(half(1), F.lit("-"), half(17)).alias("checksum"))
+
+def _file_columns() -> list[Column]:
+    metadata = (F.col("_metadata.file_path"), F.col("_metadata.file_size"), F.col("_metadata.file_modification_time"))
+    return [column.alias(name) for column, name in zip(metadata, _FILE)]
+
+
+def table_location(spark: SparkSession, name: str) -> str | None:
+    """The folder of a table's files; None for views and tables without files."""
+    if spark.catalog.getTable(name).tableType not in ("MANAGED", "EXTERNAL"):
+        return None
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()
+    return described["data_type"] if described else None
+
+
+def table_files(spark: SparkSession, location: str) -> DataFrame:
+    """``(path, size, modified)`` of the files in a folder and those below; no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
+    return listed.select(*_file_columns())
+
+
+def parts_table(name: str) -> str:
+    return f"{name}_parts"
+
+
+def stored_fingerprint(spark: SparkSession, name: str) -> DataFrame:
+    """``table_fingerprint`` of a stored table, at the price of its new files only.
+
+    The digest sums of every file are kept in a table beside it, under the file's path, size and time of
+    change. Files that are noted there are not opened again, files that are gone are left out. A view,
+    or a table without files, is read whole.
+    """
+    location = table_location(spark, name)
+    if location is None:
+        return table_fingerprint(spark.table(name))
+    spark.catalog.refreshTable(name)
+    table, noted = spark.table(name), parts_table(name)
+    # What a file's rows amount to depends on the table's columns too.
+    layout = F.lit(table.schema.simpleString())
+    files = cut_lineage(table_files(spark, location))
+    known = None
+    if spark.catalog.tableExists(noted):
+        known = spark.table(noted).where(F.col("layout") == layout).join(files, [*_FILE], "left_semi")
+    fresh = files if known is None else files.join(known, [*_FILE], "left_anti")
+    new = [r["path"] for r in fresh.select("path").take(_LISTED_FILES + 1)]
+    if new or known is None or known.count() < spark.table(noted).count():
+        read = table if len(new) > _LISTED_FILES else table.where(F.col("_metadata.file_path").isin(new))
+        own = ["file_path", "file_size", "file_modification_time"]
+        named = read.select("*", *[F.col(f"_metadata.{c}").alias(f"{c} of the part") for c in own])
+        sums = named.groupBy(*[F.col(f"`{c} of the part`").alias(k) for c, k in zip(own, _FILE)])
+        sums = sums.agg(*_digest_sums(table.dtypes))
+        # A file without rows is noted as well.
+        sums = fresh.join(sums, [*_FILE], "left").na.fill(0, ["rows", "high", "low"]).withColumn("layout", layout)
+        parts = sums if known is None else known.select(*sums.columns).unionByName(sums)
+        write_table(cut_lineage(parts), noted)
+        known = spark.table(noted)
+    total = [F.coalesce(F.sum(c), F.lit(0)).cast(kind).alias(c) for c, kind in _SUMS]
+    return known.agg(*total).select("rows", _checksum())
+
+
+_SUMS = (("rows", "long"), ("high", "decimal(38,0)"), ("low", "decimal(38,0)"))
 
 
 def fingerprint_text(inputs: dict[str, DataFrame]) -> str:
+    return _noted({name: table_fingerprint(df) for name, df in inputs.items()})
+
+
+def _noted(prints: dict[str, DataFrame]) -> str:
     parts = []
-    for name in sorted(inputs):
-        row = table_fingerprint(inputs[name]).first()
+    for name in sorted(prints):
+        row = prints[name].first()
         parts.append(f"{name}:{row['rows']}:{row['checksum']}")
     return " ".join(parts)
 
@@ -104,15 +187,20 @@ def load_or_build(
     spark: SparkSession,
     name: str,
     build: Callable[[], DataFrame],
-    inputs: dict[str, DataFrame] | None = None,
+    inputs: dict[str, DataFrame | str] | None = None,
     force: bool = False,
 ) -> DataFrame:
     """The stored table, built first if it is absent, forced, or made from other inputs.
 
     Without ``inputs`` a stored table is taken as it is; with them their fingerprint is compared
-    with the one noted on the table.
+    with the one noted on the table. An input is a table's name, of which only new files are read for
+    it, or a DataFrame, which is read whole.
     """
-    noted = fingerprint_text(inputs) if inputs else None
+    noted = None
+    if inputs:
+        noted = _noted(
+            {n: stored_fingerprint(spark, i) if isinstance(i, str) else table_fingerprint(i) for n, i in inputs.items()}
+        )
     fresh = spark.catalog.tableExists(name) and not force
     if fresh and noted is not None:
         properties = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
