@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import attributes, clusters
 from ..settings import use_all_cores
+from ..sources import catalog
 from ..sources.catalog import table_fingerprint
 from ..sources.dump import dump_rows
 from . import binding as b
@@ -74,27 +77,43 @@ def _field_sql(text: str) -> str:
     return f"coalesce(length({text})::VARCHAR || ':' || {text}, 'null')"
 
 
-@query(
-    "table_fingerprint",
-    _FINGERPRINT_SQL.format(
-        table="orders",
-        fields=", ".join(
-            _field_sql(c)
-            for c in (
-                "o_orderkey::VARCHAR",
-                "o_custkey::VARCHAR",
-                "o_orderstatus",
-                "o_totalprice::VARCHAR",
-                "epoch_us(o_orderdate)::VARCHAR",
-                "o_orderpriority",
-            )
-        ),
+_ORDERS_PRINT_SQL = _FINGERPRINT_SQL.format(
+    table="orders",
+    fields=", ".join(
+        _field_sql(c)
+        for c in (
+            "o_orderkey::VARCHAR",
+            "o_custkey::VARCHAR",
+            "o_orderstatus",
+            "o_totalprice::VARCHAR",
+            "epoch_us(o_orderdate)::VARCHAR",
+            "o_orderpriority",
+        )
     ),
 )
+
+
+@query("table_fingerprint", _ORDERS_PRINT_SQL)
 def _(spark, sf_dir):
     return table_fingerprint(b.table(spark, sf_dir, "orders"))
 
 
+@query("stored_fingerprint", _ORDERS_PRINT_SQL)
+def _(spark, sf_dir):
+    """The same of a stored table that grew: the files of the first part are noted, those of the second read."""
+    name, orders = f"orders_{uuid.uuid4().hex}", b.table(spark, sf_dir, "orders")
+    first = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    try:
+        catalog.write_table(orders.where(first), name)
+        catalog.stored_fingerprint(spark, name).collect()
+        orders.where(~first).write.mode("append").format("parquet").saveAsTable(name)
+        found = catalog.stored_fingerprint(spark, name)
+        return spark.createDataFrame(found.collect(), found.schema)
+    finally:
+        for made in (name, catalog.parts_table(name)):
+            spark.sql(f"DROP TABLE IF EXISTS {made}")
+
+
 @query(
     "display_title",
     "SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 47) || '...' ELSE text END AS shown FROM documents",
