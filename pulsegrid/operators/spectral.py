@@ -2,7 +2,8 @@
 
 The affinity is exp(-gamma * squared distance). Up to ``BLOCK`` entities it is one small matrix
 built from a pair table. For more, it is never stored: every round of the iteration recomputes it
-between two blocks of vectors inside a task and emits one array of weighted sums per entity. Both routes
+between two blocks of vectors inside a task and emits one array of weighted sums per entity. Blocks are dealt
+by place; those so far apart that all their affinities are 0 never meet. Both routes
 give the same features up to the iteration's tolerance.
 """
 
@@ -19,7 +20,9 @@ from pyspark.sql import types as T
 from ..functions.distances import block_distances
 from ..settings import cut_lineage
 from . import krylov
-from .vectors import BLOCK, as_arrays, block_pairs, vector_pair_distances, vector_shape
+from .vectors import BLOCK, as_arrays, block_pairs, near_blocks, vector_pair_distances, vector_shape
+
+_UNDERFLOW = 750.0  # exp(-745.2) is 0; the rest is for rounding
 
 
 def spectral_features(
@@ -54,8 +57,16 @@ def _degree_root(degree: np.ndarray) -> np.ndarray:
     return np.sqrt(np.where(degree > 0, degree, 1.0))
 
 
-def affinity_sums(vectors: DataFrame, gamma: float, block: int | None, shape: tuple[int, int]) -> DataFrame:
-    """``(entity, y)``: for every entity, the affinity-weighted sum of the array ``y`` over the other entities."""
+def _reach(gamma: float) -> float:
+    """The distance beyond which exp(-gamma * squared distance) is 0 as a double."""
+    return float(np.sqrt(_UNDERFLOW / gamma)) if gamma > 0 else float("inf")
+
+
+def affinity_sums(
+    vectors: DataFrame, gamma: float, block: int | None, shape: tuple[int, int], near: DataFrame | None = None
+) -> DataFrame:
+    """``(entity, y)``: for every entity, the affinity-weighted sum of the array ``y`` over the other entities.
+    With ``near`` (see ``near_blocks``) blocks whose affinities are all 0 do not meet."""
     kind = vectors.schema["entity"].dataType.simpleString()
 
     def work(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
@@ -70,7 +81,7 @@ def affinity_sums(vectors: DataFrame, gamma: float, block: int | None, shape: tu
             parts.append((right, affinity.T @ np.stack(left["y"].to_numpy())))
         return pd.concat(pd.DataFrame({"entity": rows["entity"].to_numpy(), "y": list(total)}) for rows, total in parts)
 
-    partial = block_pairs(vectors, work, f"entity {kind}, y array<double>", block, shape)
+    partial = block_pairs(vectors, work, f"entity {kind}, y array<double>", block, shape, near)
     summed = partial.groupBy("entity").agg(Summarizer.sum(array_to_vector("y")).alias("y"))
     return summed.select("entity", vector_to_array("y").alias("y"))
 
@@ -84,17 +95,19 @@ def eigenfeatures(
 ) -> tuple[DataFrame, krylov.Eigen]:
     """The features of the iteration, and what it found: values, residuals, rounds."""
     shape = vector_shape(vectors)
-    ones = vectors.withColumn("y", F.array(F.lit(1.0)))
-    degrees = affinity_sums(ones, gamma, block, shape).select("entity", F.col("y")[0].alias("degree"))
+    placed = near_blocks(vectors, _reach(gamma), block, shape)
+    ones = placed.rows.withColumn("y", F.array(F.lit(1.0)))
+    degrees = affinity_sums(ones, gamma, block, shape, placed.near).select("entity", F.col("y")[0].alias("degree"))
     root = F.sqrt(F.when(F.col("degree") > 0, F.col("degree")).otherwise(1.0))
-    based = cut_lineage(vectors.join(degrees.select("entity", root.alias("root")), "entity"))
+    based = cut_lineage(placed.rows.join(degrees.select("entity", root.alias("root")), "entity"))
     width = min(k + 6, shape[0])  # the extra columns speed up convergence
 
     def over_root(table: DataFrame, *kept: str) -> DataFrame:
         return table.select("entity", *kept, F.transform("y", lambda x: x / F.col("root")).alias("y"))
 
     def step(y: DataFrame) -> DataFrame:
-        sums = affinity_sums(over_root(based.join(y, "entity"), "features"), gamma, block, shape)
+        rows = over_root(based.join(y, "entity"), "features", "_ball", "_mine")
+        sums = affinity_sums(rows, gamma, block, shape, placed.near)
         return over_root(sums.join(based.select("entity", "root"), "entity"))
 
     start = krylov.random_start(vectors.select("entity"), width, seed)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distances import block_distances, check_metric
-from ..settings import checked_small
+from ..settings import checked_small, cut_lineage
 
 BLOCK = 1024
 _BLOCK_CELLS = 1 << 22
+MOST_BALLS = 1024
+PIVOT_SAMPLE = 4096
+_PIVOT_CELLS = 1 << 22
 WIDEST_ROW = 4096
 
 
@@ -108,22 +112,27 @@ def block_pairs(
     schema: str,
     block: int | None = None,
     shape: tuple[int, int] | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``work(left rows, right rows, same block)`` once per unordered pair of blocks.
 
-    ``shape`` (rows, longest vector) saves the job that finds it.
+    ``shape`` (rows, longest vector) saves the job that finds it. With ``near``, the table of
+    ``near_blocks`` that goes with these rows, only blocks of balls within reach of each other meet.
     """
     vectors = as_arrays(vectors)
-    n, length = shape or vector_shape(vectors)
-    room = block or int(np.clip(_BLOCK_CELLS // max(1, length), 16, BLOCK))
-    blocks = max(1, ceil(n / room))
-    mine = F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int")
+    if near is None:
+        n, length = shape or vector_shape(vectors)
+        blocks = max(1, ceil(n / _room(block, length)))
+        vectors = vectors.withColumn("_mine", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int"))
+        others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    else:
+        vectors = vectors.join(F.broadcast(near), "_ball")  # at most MOST_BALLS rows
+        others = F.flatten(F.transform("_near", lambda ball: F.sequence(ball["first"], ball["last"])))
     spread = (
-        vectors.withColumn("_mine", mine)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        vectors.withColumn("_other", F.explode(others))
         .withColumn("_p", F.least("_mine", "_other"))
         .withColumn("_q", F.greatest("_mine", "_other"))
-        .drop("_other")
+        .drop("_other", "_near", "_ball")
     )
 
     def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -134,6 +143,76 @@ def block_pairs(
     return spread.groupBy("_p", "_q").applyInPandas(task, schema)
 
 
+class NearBlocks(NamedTuple):
+    """``rows(entity, features, _ball, _mine)``, ``near(_ball, _near)`` for ``block_pairs``, and how many of
+    all pairs of blocks are within reach."""
+
+    rows: DataFrame
+    near: DataFrame
+    pairs_kept: int
+    pairs: int
+
+
+def near_blocks(vectors: DataFrame, reach: float, block: int | None = None, shape: tuple[int, int] | None = None) -> NearBlocks:
+    """Deal the rows into blocks by place, and find the blocks that can hold rows less than ``reach`` apart.
+
+    Every row goes to the ball of its nearest pivot; a ball with more rows than a block is several blocks.
+    Balls are out of reach when their pivots' distance exceeds both radii and the reach, so no pair
+    of rows within reach is lost. The pivots are taken far from one another among at most ``PIVOT_SAMPLE``
+    rows (fewer if they are wide), drawn by a hash; they decide what can be skipped, never the result.
+    """
+    vectors = as_arrays(vectors).select("entity", "features")
+    n, length = shape or vector_shape(vectors)
+    room = _room(block, length)
+    most = int(np.clip(_PIVOT_CELLS // max(1, length), 64, PIVOT_SAMPLE))
+    drawn = vectors.orderBy(F.xxhash64("entity", F.lit(1)), "entity").select("features").take(most)
+    pivots = _apart(np.array([r["features"] for r in drawn] or [[0.0]], float), min(MOST_BALLS, 2 * ceil(n / room)))
+    squares = (pivots * pivots).sum(axis=1)
+
+    @F.pandas_udf("ball int, gap double")
+    def nearest(features: pd.Series) -> pd.DataFrame:
+        dense = np.stack(features.to_numpy()).astype(float)
+        ball = np.argmin(squares - 2 * dense @ pivots.T, axis=1)
+        return pd.DataFrame({"ball": ball.astype("int32"), "gap": np.sqrt(((dense - pivots[ball]) ** 2).sum(axis=1))})
+
+    dealt = cut_lineage(vectors.withColumn("_at", nearest("features")))
+    balls = dealt.groupBy("_at.ball").agg(F.count("*").alias("n"), F.max("_at.gap").alias("radius")).collect()
+    place = {r["ball"]: i for i, r in enumerate(balls)}
+    parts = np.array([ceil(r["n"] / room) for r in balls], int)
+    first = np.cumsum(parts) - parts
+    radius, centre = np.array([r["radius"] for r in balls]), pivots[np.array([r["ball"] for r in balls], int)]
+    near, kept = [], 0
+    for ball, i in place.items():
+        between = np.sqrt(((centre - centre[i]) ** 2).sum(axis=1))
+        met = np.flatnonzero(between * (1 - 1e-9) <= radius + radius[i] + reach)
+        near.append((ball, int(parts[i]), int(first[i]), [(int(first[j]), int(first[j] + parts[j] - 1)) for j in met]))
+        kept += int(parts[i] * parts[met].sum())
+    table = vectors.sparkSession.createDataFrame(
+        near, "_ball int, parts int, first int, _near array<struct<first:int,last:int>>"
+    )
+    mine = F.col("first") + F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int")
+    rows = dealt.select("entity", "features", F.col("_at.ball").alias("_ball"))
+    rows = rows.join(F.broadcast(table.drop("_near")), "_ball").select("entity", "features", "_ball", mine.alias("_mine"))
+    blocks = int(parts.sum())
+    return NearBlocks(rows, table.select("_ball", "_near"), (kept + blocks) // 2, blocks * (blocks + 1) // 2)
+
+
+def _apart(rows: np.ndarray, wanted: int) -> np.ndarray:
+    """Up to ``wanted`` different rows, each the farthest from those taken before."""
+    taken, gaps = [0], np.full(len(rows), np.inf)
+    while True:
+        gaps = np.minimum(gaps, ((rows - rows[taken[-1]]) ** 2).sum(axis=1))
+        far = int(gaps.argmax())
+        if len(taken) >= wanted or gaps[far] <= 0:
+            return rows[taken]
+        taken.append(far)
+
+
+def _room(block: int | None, length: int) -> int:
+    """Rows of a block."""
+    return block or int(np.clip(_BLOCK_CELLS // max(1, length), 16, BLOCK))
+
+
 def _matrix(rows: pd.DataFrame, transform: np.ndarray | None) -> np.ndarray:
     dense = np.stack(rows["features"].to_numpy()).astype(float)
     return dense if transform is None else dense @ transform
