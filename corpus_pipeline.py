@@ -19,14 +19,20 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model scores below 0.5, with all columns. Null and empty texts are scored like
+    others, whole texts are read, repeated rows and null ids stay, an empty table stays empty."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (runs of blanks count as one space, null as empty) the row with the smallest id, a null
+    id last; one of several rows that agree in id and text."""
     return recipes.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of every group that 3 or fewer differing bits link. Texts
+    without words have the fingerprint zero and form a group like others."""
     return simhash.keep_representatives(docs)
 
 
@@ -37,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of every row, repeated ones too; null and empty texts have no tokens."""
     return bpe.encoded_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
