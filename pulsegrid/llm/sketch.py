@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..settings import checked_small
+from ..settings import checked_small, cut_lineage
 from .common import BLANKS, let, whole_text
 
 WORDS = 5
@@ -18,6 +18,9 @@ WORDS = 5
 DROPPED_BITS = 3
 # Documents that a task of the neighbour search holds, about; a wider text is on disk, not in memory.
 ROWS_PER_BLOCK = 4000
+MOST_BLOCKS = 1 << 16
+# Copies that one row stands for at most.
+COPIES = 10_000
 
 
 def shingle_hashes(text: Column, n: int = WORDS) -> Column:
@@ -71,50 +74,77 @@ def resemblance(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def with_next(docs: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, object]:
-    """doc_id, text, order columns and block: the documents laid out so that the next one in descending
-    id order is in the same block; the window to read it; ``guest`` marks rows that are only read.
+def _placed(doc_id: Column, tie: Column) -> Column:
+    """Sorts like descending ids, null ids last, rows of one id by the hash of their text."""
+    down = F.coalesce(F.bitwise_not(doc_id.cast("long")), F.lit(0).cast("long"))
+    return F.struct(doc_id.isNull().alias("no_id"), down.alias("down"), tie.alias("tie"))
 
-    Ids are cut in ranges, a range is a block, and the first row of the block that follows comes along
-    as a guest, the overall first row after the overall last one. So texts move once. Rows without an
-    id come last; rows with one id go by a hash of their text.
-    """
-    ids = docs.select("doc_id")
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    blocks = max(1, -(-n // rows_per_block))
-    width = max(1, -(-(int(high) - int(low) + 1) // blocks)) if low is not None else 1
-    # Block 0 has the largest ids.
-    block = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)).cast("long"), F.lit(1 << 40).cast("long"))
-    rows = docs.select(
-        "doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("tie"), block.alias("block")
-    )
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    # The first row of every block, one narrow row for about rows_per_block documents.
-    first = (
-        rows.groupBy("block")
-        .agg(F.max("doc_id").alias("first_id"), F.min_by("tie", F.struct(-F.col("doc_id"), "tie")).alias("first_tie"))
-        .withColumn("to_block", F.lag("block").over(Window.orderBy("block")))
-        .withColumn("last_block", F.max("block").over(Window.partitionBy()))
-    )
-    first = first.select(
-        F.col("block").alias("of_block"), "first_id", "first_tie", F.coalesce("to_block", "last_block").alias("to_block")
-    )
-    met = (
-        (F.col("block") == F.col("of_block"))
-        & F.col("doc_id").eqNullSafe(F.col("first_id"))
-        & (F.col("tie") == F.col("first_tie"))
-    )
-    rows = rows.join(checked_small(first, 100_000), met, "left")
-    places = F.when(F.col("to_block").isNull(), F.array(F.struct(F.col("block").alias("b"), F.lit(False).alias("g"))))
-    places = places.otherwise(
-        F.array(
-            F.struct(F.col("block").alias("b"), F.lit(False).alias("g")),
-            F.struct(F.col("to_block").alias("b"), F.lit(True).alias("g")),
-        )
+
+def _cuts(keys: DataFrame, size: int) -> list:
+    """The places ``at`` where about ``size`` of the ``rows`` are full, and the first one of each range that
+    the rows are counted in."""
+    ranges = keys.repartitionByRange(max(1, min(4096, -(-keys.count() // 250_000))), "at")
+    ordered = Window.partitionBy("part").orderBy("at")
+    counted = ranges.withColumn("part", F.spark_partition_id()).select(
+        "at",
+        F.floor((F.sum("rows").over(ordered) - F.col("rows")) / size).alias("full"),
+        F.row_number().over(ordered).alias("n"),
+        "part",
     )
-    rows = rows.select("doc_id", "text", "tie", F.explode(places).alias("p"))
-    rows = rows.select("doc_id", "text", "tie", F.col("p.b").alias("block"), F.col("p.g").alias("guest"))
-    return rows, Window.partitionBy("block").orderBy("guest", *order)
+    counted = counted.withColumn("before", F.lag("full").over(ordered))
+    return sorted(tuple(r["at"]) for r in counted.where("n = 1 or full > before").select("at").collect())
+
+
+def _block(at: Column, cuts: Column, blocks: int) -> Column:
+    """The last cut that is not behind the place, by halving."""
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        here = F.get(cuts, middle) <= at
+        low, high = F.when(here, middle).otherwise(state["low"]), F.when(here, state["high"]).otherwise(middle)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(blocks).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, blocks.bit_length()))), start, halve)["low"]
+
+
+def with_next(docs: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, object]:
+    """doc_id, text, block, guest, copies and order columns: the documents laid out so that the next one in
+    descending id order is in the same block; the window to read it; ``guest`` marks rows that are only read.
+
+    Blocks are cut at counted places, whatever the ids are, and the first row of the block that follows
+    comes along as a guest, the overall first row after the overall last one. So texts move once. Rows
+    without an id come last; rows with one id go by a hash of their text. Where a row is repeated more often
+    than a block has rows, rows with a number of ``copies`` stand for it; the last has one copy. At most
+    ``MOST_BLOCKS`` blocks, beyond that they grow; a block's texts are sorted on disk.
+    """
+    text = whole_text()
+    at = _placed(F.col("doc_id"), F.xxhash64(text))
+    rows = docs.select("doc_id", text.alias("text"), at.alias("at"))
+    keys = cut_lineage(rows.groupBy("at").agg(F.count(F.lit(1)).alias("n")))
+    total = keys.agg(F.sum(F.least("n", F.lit(rows_per_block)))).first()[0] or 0
+    size = max(rows_per_block, -(-total // MOST_BLOCKS))
+    hot = keys.where(F.col("n") > size).select("at")
+    if hot.isEmpty():
+        rows = rows.withColumn("copies", F.lit(1))
+    else:
+        hot = checked_small(hot, 100_000)
+        once = rows.join(hot, "at", "left_semi").groupBy("doc_id", "text", "at").agg(F.count(F.lit(1)).alias("n"))
+        full, rest = F.floor((F.col("n") - 1) / COPIES), (F.col("n") - 1) % COPIES
+        parts = F.concat(F.array_repeat(F.lit(COPIES), full.cast("int")), F.array(rest.cast("int"), F.lit(1)))
+        once = once.withColumn("copies", F.explode(parts)).where("copies > 0").select(*rows.columns, "copies")
+        rows = rows.join(hot, "at", "left_anti").select(*rows.columns).withColumn("copies", F.lit(1)).unionByName(once)
+    cuts = _cuts(keys.select("at", F.when(F.col("n") > size, 2).otherwise(F.col("n")).alias("rows")), size)
+    schema = "one int, cuts array<struct<no_id:boolean,down:bigint,tie:bigint>>"
+    listed = docs.sparkSession.createDataFrame([(1, cuts)], schema)
+    found = rows.withColumn("one", F.lit(1)).join(F.broadcast(listed), "one")
+    found = found.withColumn("block", _block(F.col("at"), F.col("cuts"), len(cuts)))
+    own, before = F.col("block"), F.when(F.col("block") == 0, F.lit(len(cuts) - 1)).otherwise(F.col("block") - 1)
+    place, guest = F.struct(own.alias("b"), F.lit(False).alias("g")), F.struct(before.alias("b"), F.lit(True).alias("g"))
+    first = F.get("cuts", F.col("block")) == F.col("at")
+    found = found.withColumn("p", F.explode(F.when(first, F.array(place, guest)).otherwise(F.array(place))))
+    found = found.select("doc_id", "text", "at", "copies", F.col("p.b").alias("block"), F.col("p.g").alias("guest"))
+    return found, Window.partitionBy("block").orderBy("guest", "at", F.col("copies").desc())
 
 
 def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
@@ -143,12 +173,14 @@ def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
         "n_chars",
         "block",
         "guest",
-        "tie",
+        "at",
+        "copies",
         F.when(~F.col("guest"), F.sha2("edited", 256)).alias("edited_sha256"),
         sketch(F.col("text")).alias("own"),
         F.when(~F.col("guest"), sketch(F.col("edited"))).alias("changed"),
     )
     rows = rows.withColumn("following", F.lead("own").over(window)).where(~F.col("guest"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return rows.select(
         "doc_id",
         "n_chars",

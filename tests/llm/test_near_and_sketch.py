@@ -194,3 +194,25 @@ def test_sketch_of_odd_tables(spark):
     assert sketch.fingerprints_and_edits(docs.limit(0)).count() == 0
     one = sketch.fingerprints_and_edits(docs.where("doc_id = 3").limit(1)).first()
     assert one.near_next == 1.0
+
+
+def test_blocks_are_cut_at_counted_places(spark, monkeypatch):
+    """Null, repeated and outlying ids, and rows repeated more often than a block has rows."""
+    monkeypatch.setattr(sketch, "COPIES", 4)
+    monkeypatch.setattr(sketch.with_next, "__defaults__", (5,))
+    rows = [(i, prose(i, 30)) for i in range(40)] + [(1 << 60, prose(99, 30)), (-(1 << 63), "far"), ((1 << 63) - 1, None)]
+    rows += [(None, prose(200 + i, 20)) for i in range(17)] + [(7, prose(300 + i, 20)) for i in range(16)]
+    rows += [(12, prose(12, 30))] * 18 + [(1000 + i, prose(i, 25)) for i in range(12) for _ in range(4)] + [(None, "twice over")] * 9 + [(3, prose(3, 30))] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    laid, _ = sketch.with_next(docs)
+    assert max(r["count"] for r in laid.groupBy("block").count().collect()) <= 3 * 5 + 2
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in sketch.fingerprints_and_edits(docs).collect()), key=repr)
+    ties = docs.select("doc_id", "text", sketch.F.xxhash64(sketch.whole_text()).alias("tie")).collect()
+    order = sorted(ties, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    want = []
+    for row, after in zip(order, order[1:] + order[:1]):
+        own, following = row.text or "", after.text or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + following[:half]
+        want.append((row.doc_id, len(own), hashlib.sha256(edited.encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
