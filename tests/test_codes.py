@@ -111,3 +111,22 @@ def test_wide_codes_that_do_not_fit_raise(spark, code):
     ordinals = spark.createDataFrame([(i, i) for i in range(100)], "entity int, ord int")
     with pytest.raises(Exception, match="not a cluster code here"):
         clusters.cluster_members(spark.createDataFrame([(code,)], "cluster_id string"), ordinals).collect()
+
+
+def test_codes_of_many_entities_whose_keys_have_gaps(spark):
+    """More entities than a short code holds, numbered by their order, not by their keys."""
+    rows = spark.range(9001).select((F.col("id") * 7 + 5).alias("entity"), (F.col("id") % 4).alias("label"))
+    ordinals = clusters.numbered(rows.repartition(5))
+    assert [r["ord"] for r in ordinals.orderBy("entity").collect()] == list(range(9001))
+    ids = clusters.cluster_ids(rows, ordinals)
+    got = {r["label"]: r["cluster_id"] for r in ids.collect()}
+    assert got == {k: base58.decimal_to_code(sum(1 << (9000 - i) for i in range(k, 9001, 4))) for k in range(4)}
+    back = clusters.cluster_members(ids.select("label", "cluster_id"), ordinals)
+    assert sorted(back.select("label", "entity").collect()) == sorted(rows.select("label", "entity").collect())
+
+
+@pytest.mark.parametrize("rows", [[(0, 0), (1, 2)], [(0, 0), (0, 1)], [(0, 0), (None, 1)]])
+def test_large_ordinal_tables_are_checked(spark, monkeypatch, rows):
+    monkeypatch.setattr(clusters, "SMALL_ROWS", 1)
+    with pytest.raises(ValueError, match="number every entity once"):
+        clusters._pinned(spark.createDataFrame(rows, "entity int, ord int"))
