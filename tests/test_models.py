@@ -249,3 +249,14 @@ def test_more_languages_than_models_raise(spark, monkeypatch):
     monkeypatch.setattr(checked, "topics_per_cluster", lambda corpora, **_: pytest.fail(f"{len(corpora)} languages"))
     with pytest.raises(ValueError, match="1000 languages"):
         checked._topic_facts(spark, "", "lda")
+
+
+def test_plane_of_a_matrix_with_fewer_directions_than_columns(spark):
+    """Blocks get narrower where directions vanish; an item's cells are dealt out once."""
+    rng = np.random.default_rng(17)
+    data = np.abs(rng.normal(size=(30, 2)) @ rng.normal(size=(2, 12)))
+    got = plane_array(clustering.projection.plane_by_iteration(as_triples(spark, data)))
+    assert got == pytest.approx(svd_scores(data), abs=1e-6)
+    low = 3.0 * np.outer(np.arange(1, 9), [1.0, 2.0, 4.0])
+    got = plane_array(clustering.projection.plane_by_iteration(as_triples(spark, low)))
+    assert np.abs(got[:, 0]) == pytest.approx(np.abs(svd_scores(low)[:, 0]), abs=1e-6) and np.abs(got[:, 1]).max() < 1e-6
