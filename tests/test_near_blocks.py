@@ -65,3 +65,35 @@ def test_spectral_clusters_of_far_blobs(spark):
     labels = {r["entity"]: r["label"] for r in fit_many(found, [4], 1, 4)[4].labels(found).collect()}
     groups = [{labels[i] for i in range(12 * b, 12 * b + 12)} for b in range(4)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 4
+
+
+@pytest.mark.parametrize("number", [3, 25])
+def test_tiles_of_a_block_add_up_to_all_pairs(spark, monkeypatch, number):
+    """Several tiles in a block, several blocks: the sums are those of the whole affinity."""
+    monkeypatch.setattr(vectors, "TILE", 4)
+    data = blobs(3, number)
+    table, shape = as_vectors(spark, data), (len(data), 3)
+    placed = vectors.near_blocks(table, spectral._reach(1e-5), 11, shape)
+    affinity = np.exp(-1e-5 * ((data[:, None] - data[None]) ** 2).sum(-1))
+    np.fill_diagonal(affinity, 0.0)
+    want = affinity @ np.stack([np.ones(len(data)), np.arange(len(data))], axis=1)
+    assert sums_of(placed, 1e-5, 11, shape, placed.near) == pytest.approx(want, rel=1e-12)
+
+
+def test_summed_blocks_are_few_and_bounded():
+    """Rows are sent to every other block, so blocks grow with the rows up to what a task holds."""
+    assert vectors.summed_room(2_000, 64) == 1024 and vectors.summed_room(600_000, 64) == 16_384
+    assert vectors.summed_room(10**6, 4096) * 4096 <= 1 << 22
+    assert -(-100_000 // vectors.summed_room(100_000, 64)) <= 13
+
+
+def test_power_iteration_is_that_of_all_pairs(spark):
+    data = blobs(3, 12, 1.0)
+    got = {r["entity"]: r["v"] for r in spectral.power_iteration(as_vectors(spark, data), 0.3, 6).collect()}
+    affinity = np.exp(-0.3 * ((data[:, None] - data[None]) ** 2).sum(-1)) - np.eye(len(data))
+    degree = affinity.sum(axis=1)
+    v = degree / degree.sum()
+    for _ in range(6):
+        v = affinity @ v / degree
+        v /= np.abs(v).sum()
+    assert [got[i] for i in range(len(data))] == pytest.approx(v, rel=1e-9)

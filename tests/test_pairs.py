@@ -219,3 +219,30 @@ def test_label_sums_without_pairs(spark, metric, offset):
     assert got.keys() == want.keys() and len(found) == len(want)
     for key, (total, n) in want.items():
         assert got[key][0] == pytest.approx(total, abs=1e-6) and got[key][1] == n
+
+
+@pytest.mark.parametrize("metric", ["correlation", "euclidean", "chebyshev", "canberra", "braycurtis", "cityblock"])
+def test_silhouette_in_tiles_and_without_pairs(spark, monkeypatch, metric):
+    from pulsegrid.operators import vectors
+
+    monkeypatch.setattr(vectors, "TILE", 5)
+    if metric == "correlation":  # the sums of labels tell everything
+        monkeypatch.setattr(vectors, "block_pairs", lambda *a, **k: pytest.fail("all pairs"))
+    data = np.random.default_rng(31).normal(size=(40, 4))
+    data[7] = data[8]
+    labels = [i % 3 for i in range(40)]
+    marks = spark.createDataFrame(list(enumerate(labels)), "entity long, label int")
+    score = evaluation.silhouette_vectors(as_vectors(spark, data), marks, metric, 17).first()["silhouette"]
+    assert score == pytest.approx(brute_silhouette(metric, data, labels), abs=1e-9)
+
+
+def test_columns_give_the_statistics_of_rows():
+    from pulsegrid.functions import distances
+
+    rng = np.random.default_rng(32)
+    a, b = rng.integers(-2, 3, (9, 4)) * 0.1, rng.integers(-2, 3, (11, 4)) * 0.1
+    wanted = {"l1", "neq", "max_diff", "sum_abs", "canberra"}
+    got = distances._column_statistics(a, b, wanted)
+    for i in range(9):
+        want = distances.block_statistics(a[i : i + 1], b, wanted)
+        assert all(got[name][i] == pytest.approx(want[name][0], abs=1e-14) for name in wanted)
