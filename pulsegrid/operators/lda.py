@@ -23,8 +23,8 @@ from .merging import added, as_batch
 UPDATES, PASSES = 4, 5
 # Documents of an update that one task takes.
 _ROWS_PER_TASK = 2048
-# Cells of a dense block of documents.
-_CELLS = 1 << 18
+# Cells (document, term of its own, topic) of a block of documents; they stay in a core's cache.
+_CELLS = 1 << 16
 
 
 class Fitted(NamedTuple):
@@ -50,39 +50,66 @@ def _expected_log(x: np.ndarray) -> np.ndarray:
     return digamma(x) - digamma(x.sum(axis=-1, keepdims=True))
 
 
+def _topic_weights(gamma: np.ndarray) -> np.ndarray:
+    """exp(E[log p]) of Dirichlet rows, up to a factor of the row: exp(digamma), six steps of its recurrence in pairs."""
+    low, high = gamma * (gamma + 5.0), gamma + 6.0
+    below = 1.0 / low
+    below += 1.0 / (low + 4.0)
+    below += 1.0 / (low + 6.0)
+    below *= gamma + gamma + 5.0
+    w = 1.0 / high
+    below += 0.5 * w
+    w *= w
+    below += w * (1 / 12 - w * (1 / 120 - w * (1 / 252 - w / 240)))
+    return high * np.exp(-below)
+
+
 def expectation(
-    documents: Sequence[tuple[Sequence[int], Sequence[float]]], word_weights: np.ndarray, alpha: float, most: int = 100
+    lengths: np.ndarray, indices: np.ndarray, values: np.ndarray, word_weights: np.ndarray, alpha: float, most: int = 100
 ) -> tuple[np.ndarray, float, float]:
-    """Expected (topic, term) counts of documents given as (indices, counts), their log likelihood and words.
+    """Expected (topic, term) counts of documents, their log likelihood and words. The entries of all documents
+    are in ``indices`` and ``values`` one after the other, ``lengths`` of them each.
 
-    Documents are worked through in blocks of dense rows; each stops moving for itself.
+    Documents of like length are worked through together, each over its own terms only; each stops moving for itself.
     """
     topics, width = word_weights.shape
-    sums, likelihood, words = np.zeros(word_weights.shape), 0.0, 0.0
-    block = max(1, _CELLS // max(1, width))
-    for low in range(0, len(documents), block):
-        part = documents[low : low + block]
-        counts = np.zeros((len(part), width))
-        for row, (indices, values) in zip(counts, part):
-            row[indices] = values
-        counts = counts[counts.any(axis=1)]
-        if not len(counts):
-            continue
-        gamma, moving = np.ones((len(counts), topics)), np.arange(len(counts))
+    by_term = np.ascontiguousarray(word_weights.T)
+    sums, likelihood, words = np.zeros((topics, width)), 0.0, 0.0
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(lengths, kind="stable")
+    order, at = order[lengths[order] > 0], 0
+    while at < len(order):
+        stop = min(len(order), at + max(1, _CELLS // (topics * int(lengths[order[at]]))))
+        while stop - at > 1 and (stop - at) * topics * int(lengths[order[stop - 1]]) > 2 * _CELLS:
+            stop = at + (stop - at + 1) // 2
+        own, at = order[at:stop], stop
+        # entries beyond a document's own have count 0
+        place = np.arange(int(lengths[own[-1]]))
+        there = place < lengths[own, None]
+        entry = np.where(there, starts[own, None] + place, 0)
+        terms, counts = indices[entry], np.where(there, values[entry], 0.0)
+        weights = by_term[terms]
+        gamma, moving = np.ones((len(own), topics)), np.arange(len(own))
+        now, here, part = gamma, weights, counts
         for _ in range(most):
-            theta = np.exp(_expected_log(gamma[moving]))
-            new = alpha + theta * ((counts[moving] / (theta @ word_weights + 1e-100)) @ word_weights.T)
-            moved = np.abs(new - gamma[moving]).mean(axis=1)
-            gamma[moving] = new
-            moving = moving[moved >= 1e-3]
-            if not len(moving):
-                break
+            theta = _topic_weights(now)
+            share = part / (np.matmul(here, theta[:, :, None])[:, :, 0] + 1e-100)
+            new = alpha + theta * np.matmul(share[:, None, :], here)[:, 0]
+            on = np.abs(new - now).mean(axis=1) >= 1e-3
+            gamma[moving] = now = new
+            if not on.all():
+                moving, now, here, part = moving[on], now[on], here[on], part[on]
+                if not len(moving):
+                    break
         theta = np.exp(_expected_log(gamma))
-        mixed = theta @ word_weights + 1e-100
-        sums += word_weights * (theta.T @ (counts / mixed))
+        mixed = np.matmul(weights, theta[:, :, None])[:, :, 0] + 1e-100
+        share, terms = (counts / mixed)[there], terms[there]
+        row = np.nonzero(there)[0]
+        for t in range(topics):
+            sums[t] += np.bincount(terms, share * theta[row, t], width)
         likelihood += float((counts * np.log(mixed)).sum())
         words += float(counts.sum())
-    return sums, likelihood, words
+    return word_weights * sums, likelihood, words
 
 
 def fit_many(
@@ -109,8 +136,13 @@ def fit_many(
     tasks = max(1, min(cores, sum(documents)), ceil(sum(documents) / updates / _ROWS_PER_TASK))
     share = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(updates)).cast("int")
     place = share * tasks + F.pmod(F.xxhash64("doc", F.lit(seed + 1)), F.lit(tasks))
+    every = F.sequence(F.lit(0), F.size(parts["values"]) - 1)  # a dense vector names no indices
     laid = counts.select(
-        "model", parts["indices"].alias("indices"), parts["values"].alias("values"), share.alias("share"), place.cast("int").alias("place")
+        "model",
+        F.coalesce(parts["indices"], every).alias("indices"),
+        parts["values"].alias("values"),
+        share.alias("share"),
+        place.cast("int").alias("place"),
     ).repartitionById(updates * tasks, F.col("place"))
     # The cache keeps the range of ``share`` of each of its pieces, so an update reads its own only.
     laid = laid.select("share", "model", "indices", "values").persist(StorageLevel.MEMORY_AND_DISK)
@@ -131,12 +163,16 @@ def fit_many(
                     total = None
                     for batch in batches:
                         of = batch.column("model").to_numpy()
-                        lists = batch.column("indices").to_pylist(), batch.column("values").to_pylist()
+                        lengths = batch.column("values").value_lengths().to_numpy()
+                        indices, values = (batch.column(c).flatten().to_numpy() for c in ("indices", "values"))
                         for m in np.unique(of).tolist():
-                            own = [(lists[0][i], lists[1][i]) for i in np.flatnonzero(of == m).tolist()]
-                            sums, likelihood, words = expectation(own, sent.value[m], alpha)
+                            own = of == m
+                            entries = np.repeat(own, lengths)
+                            sums, likelihood, words = expectation(
+                                lengths[own], indices[entries], values[entries], sent.value[m], alpha
+                            )
                             total = np.zeros(starts[-1]) if total is None else total
-                            total[starts[m] : starts[m + 1]] += np.concatenate([sums.ravel(), [len(own), likelihood, words]])
+                            total[starts[m] : starts[m + 1]] += np.concatenate([sums.ravel(), [own.sum(), likelihood, words]])
                     if total is not None:
                         yield as_batch(total)
 

@@ -200,3 +200,37 @@ def test_singular_start_is_no_worse_than_a_random_one(spark):
     assert (singular.topics >= 0).all()
     with pytest.warns(UserWarning, match="still moved"):
         nmf.factorise(vectors, 25, 3, tol=-1.0, max_iter=2)
+
+
+def test_lda_expectation_works_on_the_terms_of_a_document_only():
+    import tracemalloc
+
+    import numpy as np
+
+    from pulsegrid.operators import lda
+
+    rng = np.random.default_rng(5)
+    width, lengths = 20_000, np.array([3, 0, 40, 1, 7] * 20, np.int32)
+    indices = np.concatenate([rng.choice(width, n, replace=False) for n in lengths]).astype(np.int32)
+    values = rng.integers(1, 5, len(indices)).astype(float)
+    word_weights = np.exp(lda._expected_log(rng.gamma(100.0, 0.01, (3, width))))
+    tracemalloc.start()
+    sums, likelihood, words = lda.expectation(lengths, indices, values, word_weights, 0.3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 << 20  # the dense rows of these documents alone have 16 MB
+    want, said = np.zeros((3, width)), 0.0
+    for stop, n in zip(np.cumsum(lengths), lengths):  # one document after the other
+        own, counts = indices[stop - n : stop], values[stop - n : stop]
+        here, gamma = word_weights[:, own], np.ones(3)
+        for _ in range(100):
+            theta = np.exp(lda._expected_log(gamma))
+            new = 0.3 + theta * (here @ (counts / (theta @ here)))
+            gamma, moved = new, np.abs(new - gamma).mean()
+            if moved < 1e-3:
+                break
+        theta = np.exp(lda._expected_log(gamma))
+        want[:, own] += here * np.outer(theta, counts / (theta @ here))
+        said += (counts * np.log(theta @ here)).sum()
+    assert np.allclose(sums, want, rtol=1e-8, atol=1e-12)
+    assert np.isclose(likelihood, said) and words == values.sum()
