@@ -78,3 +78,18 @@ def test_cells_do_not_grow_with_the_centres(spark, monkeypatch):
     means = sparse_kmeans._means(cells, labels, sparse_kmeans._side_by_side(rows))
     assert sorted(map(tuple, means.spelled_out().collect())) == [(0, 0, 5, 3.0), (0, 0, 7, 3.0), (0, 1, 6, 4.0)]
     assert means.norms == [18.0, 16.0]
+
+
+def test_item_clusters_evaluate_the_matrix_once(spark):
+    cells = as_triples(spark, blobs(4))
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    triples = cells.mapInArrow(watched, cells.schema)
+    got = clustering.cluster_items(triples, cells.select("entity").distinct(), 3, seed=1)
+    assert groups(got) == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11]]
+    assert seen.value == cells.count()
