@@ -1,21 +1,25 @@
 """Documents to terms: counts, a pruned vocabulary, count vectors and tf-idf vectors.
 
-``docs(doc, text)`` is read row by row; the only shuffle is the one that adds up the terms of the
+``docs(doc, text)`` is read batch by batch; the only shuffle is the one that adds up the terms of the
 vocabulary, and map-side combining shrinks it to one row per term and task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import log
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import word_counts, words
+from ..functions.text import blanked, lowered, numbered_words, text_pieces, word_counts, words
 
 
 @dataclass(frozen=True)
@@ -53,14 +57,26 @@ def vocabulary(
 ) -> DataFrame:
     """``(idx, term, n, df)``: terms in at least ``min_df`` documents and at most the share
     ``max_df`` of them; of these the ``max_features`` most frequent, indexed alphabetically."""
-    # sorted words beside their predecessors: a word's first copy in a text differs from it
-    ordered = docs.select(F.sort_array(words(F.col("text"), stop_words)).alias("term"))
-    before = F.concat(F.array(F.lit("")), F.col("term"))
-    copies = ordered.select(F.inline(F.arrays_zip(F.col("term"), before.alias("before"))))
+    left_out = pa.array(list(stop_words), pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in text_pieces(batch)):
+            rows, codes, found = numbered_words(piece.column("text"))
+            long = pc.greater_equal(pc.utf8_length(found), 2)
+            used = pc.and_not(long, pc.is_in(found, value_set=left_out))
+            kept = used.to_numpy(zero_copy_only=False)
+            mine = kept[codes]
+            pairs = np.sort(rows[mine] * len(found) + codes[mine])  # a word's copies in a text lie side by side
+            pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+            n = np.bincount(codes, minlength=len(found))[kept]
+            df = np.bincount(pairs % max(1, len(found)), minlength=len(found))[kept]
+            yield pa.RecordBatch.from_pydict({"term": found.filter(used), "n": n, "df": df})
+
+    texts = docs.select(lowered(F.col("text")).alias("text")).select(blanked(F.col("text")).alias("text"))
     per_term = (
-        copies.filter(F.col("term").isNotNull())
+        texts.mapInArrow(count, "term string, n long, df long")
         .groupBy("term")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("term") != F.col("before")).alias("df"))
+        .agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     )
     documents = docs.agg(F.count("*")).scalar()
     kept = per_term.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * documents))
@@ -80,9 +96,30 @@ def fit_vocabulary(docs: DataFrame, stop_words: Sequence[str] = (), **limits) ->
 
 def count_vectors(docs: DataFrame, vocab: Vocabulary, stop_words: Sequence[str] = ()) -> DataFrame:
     """``(doc, features)``: sparse counts over the vocabulary, row by row."""
-    model = CountVectorizerModel.from_vocabulary(vocab.terms, inputCol="words", outputCol="features")
-    found = docs.select("doc", words(F.col("text"), stop_words).alias("words"))
-    return model.transform(found).select("doc", "features")
+    left_out = set(stop_words)
+    # a stop word keeps its place and is not counted
+    terms = pa.array([None if t in left_out else t for t in vocab.terms], pa.string())
+    width = len(vocab.terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in text_pieces(batch)):
+            rows, codes, found = numbered_words(piece.column("text"))
+            long = pc.if_else(pc.greater_equal(pc.utf8_length(found), 2), found, pa.scalar(None, pa.string()))
+            idx = pc.index_in(long, value_set=terms, skip_nulls=True).fill_null(-1).to_numpy(zero_copy_only=False)[codes]
+            mine = idx >= 0
+            cells, counts = np.unique(rows[mine] * width + idx[mine], return_counts=True)
+            ends = np.searchsorted(cells, np.arange(piece.num_rows + 1) * width).astype(np.int32)
+            parts = {
+                "type": pa.array(np.zeros(piece.num_rows, np.int8)),
+                "size": pa.array(np.full(piece.num_rows, width, np.int32)),
+                "indices": pa.ListArray.from_arrays(ends, (cells % width).astype(np.int32)),
+                "values": pa.ListArray.from_arrays(ends, counts.astype(float)),
+            }
+            features = pa.StructArray.from_arrays(list(parts.values()), names=list(parts))
+            yield pa.RecordBatch.from_arrays([piece.column("doc"), features], names=["doc", "features"])
+
+    texts = docs.select("doc", lowered(F.col("text")).alias("text")).select("doc", blanked(F.col("text")).alias("text"))
+    return texts.mapInArrow(count, StructType([docs.schema["doc"], StructField("features", VectorUDT())]))
 
 
 def tfidf_vectors(docs: DataFrame, vocab: Vocabulary, stop_words: Sequence[str] = ()) -> DataFrame:
