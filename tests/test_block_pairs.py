@@ -85,3 +85,37 @@ def test_a_start_in_single_precision_ends_in_full(spark, monkeypatch):
     got = np.array([r["features"] for r in features.orderBy("entity").collect()])
     assert np.abs(got) == pytest.approx(np.abs(axes[:, ::-1][:, :4] / root[:, None]), abs=1e-7)
     assert len(checkpoints(spark) - before) <= 6  # not one a round
+
+
+def test_absolute_differences_need_no_pairs(spark, monkeypatch):
+    """Equal values, columns in several parts, two labellings, an entity with two rows; against all pairs."""
+    from pulsegrid.functions.distances import block_distances
+
+    monkeypatch.setattr(vectors, "over_block_pairs", lambda *a: pytest.fail("all pairs"))
+    monkeypatch.setattr(vectors, "_CELLS_AT_ONCE", 9)
+    rng = np.random.default_rng(6)
+    data = np.round(rng.normal(size=(40, 3)), 1) + [1e6, 0, 0]
+    data[:, 2] = 7.3
+    entity = [*range(39), 5]
+    marks = {2: [i % 3 for i in range(39)], 3: [i // 20 for i in range(39)]}
+    table = spark.createDataFrame([(e, x.tolist()) for e, x in zip(entity, data)], "entity long, features array<double>")
+    labels = spark.createDataFrame([(k, i, x) for k, m in marks.items() for i, x in enumerate(m)], "k int, entity long, label int")
+    found = vectors.label_distance_sums(table, labels, "cityblock").collect()
+    distance = block_distances("cityblock", data, data)
+    want = {}
+    for k, m in marks.items():
+        for i, e in enumerate(entity):
+            for label in set(m):
+                of = [j for j, other in enumerate(entity) if m[other] == label]
+                total, n = want.get((k, e, m[e], label), (0.0, 0))
+                want[k, e, m[e], label] = total + distance[i][of].sum(), n + len(of) - (m[e] == label)
+    got = {(r["k"], r["entity"], r["own"], r["label"]): (r["total"], r["n"]) for r in found}
+    assert got.keys() == want.keys() and len(found) == len(want)
+    for key, (total, n) in want.items():
+        assert got[key] == (pytest.approx(total, abs=1e-9), n)
+
+
+def test_absolute_differences_of_equal_rows_are_none(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "entity int, label int")
+    rows = as_vectors(spark, np.full((9, 2), 0.1))
+    assert {r["total"] for r in vectors.label_distance_sums(rows, labels, "l1").collect()} == {0.0}
